@@ -1,0 +1,27 @@
+"""Intermediate tables in the folder that the cluster shares (spark.checkpoint.dir)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used only where the session names no folder, as in tests on one machine.
+LOCAL_DEFAULT = "/tmp/checkpoints/lakespan"
+
+
+def folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = LOCAL_DEFAULT
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage is cut, and lost executors cost nothing."""
+    spark = df.sparkSession
+    path = f"{folder(spark).rstrip('/')}/lakespan-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
