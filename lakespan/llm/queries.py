@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import bpe, exact_dedup
+
+
+def tokenizer_path() -> str:
+    """Where the public vocabulary files are installed; the same place on each machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +24,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encoded(_table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
+    return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+
+
 OP10_SQL = """
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
@@ -25,7 +37,7 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    return {"op10_exact_dedup": op10_exact_dedup}
+    return {"op7_bpe": op7_bpe, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict:
