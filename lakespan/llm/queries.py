@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, near_dedup
 
 
 def tokenizer_path() -> str:
@@ -24,6 +24,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encoded(_table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
     return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
@@ -37,7 +41,7 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    return {"op7_bpe": op7_bpe, "op10_exact_dedup": op10_exact_dedup}
+    return {"op6_minhash_dedup": op6_minhash_dedup, "op7_bpe": op7_bpe, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict:
