@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, text
+from .skew import join_counted
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a group that one salted share of the byte verification holds, about.
@@ -168,8 +169,8 @@ def exact_groups(docs: DataFrame, keep: str = "largest", digest_bytes: int = 32)
     index = scratch.written(runs.groupBy("digest").agg(F.min("ident").alias("ident"), F.sum("n").alias("group_size")), "digest-index")
     index = index.select("digest", "group_size", flip(F.when(F.col("ident") != _LAST, F.col("ident"))).alias("keep_id"))
 
-    differing = _differing(docs, digests, index)
-    found = digests.join(index, "digest")
+    found = join_counted(digests, index, "digest", "group_size", digests.count())
+    differing = _differing(docs, found)
     if not differing.isEmpty():
         whole = found.join(differing, "digest", "left_anti")
         texts = docs.withColumn("text", normalised()).withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, digest_bytes)).join(differing, "digest", "left_semi")
@@ -180,17 +181,16 @@ def exact_groups(docs: DataFrame, keep: str = "largest", digest_bytes: int = 32)
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
-def _differing(docs: DataFrame, digests: DataFrame, index: DataFrame) -> DataFrame:
+def _differing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Digests under which some hit's bytes differ from those of the row that stays.
 
-    Texts are fetched by doc_id for hits only. A large group's kept text is
-    repeated for each of its salted shares, so that no task gets a whole group.
+    The texts of hits, and of no other rows, are kept after one join by doc_id,
+    which is a merge join at every size. A large group's kept text is repeated
+    for each of its salted shares, so that no task gets a whole group.
     """
-    multi = index.where("group_size > 1 AND keep_id IS NOT NULL").withColumn("shares", F.ceil(F.col("group_size") / SALT_ROWS).cast("int"))
-    hits = scratch.written(
-        digests.join(multi, "digest").select("doc_id", "digest", "keep_id", "shares").where("doc_id IS NOT NULL").withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")).distinct(), "digest-hits"
-    )
-    texts = docs.join(hits, "doc_id").select("doc_id", "digest", "keep_id", "share", "shares", normalised().alias("text"))
+    multi = found.where("group_size > 1 AND keep_id IS NOT NULL AND doc_id IS NOT NULL").withColumn("shares", F.ceil(F.col("group_size") / SALT_ROWS).cast("int"))
+    hits = multi.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")).select("doc_id", "digest", "keep_id", "share", "shares").distinct()
+    texts = scratch.written(docs.join(hits.hint("merge"), "doc_id").select("doc_id", "digest", "keep_id", "share", "shares", normalised().alias("text")), "digest-texts")
     kept = texts.where("doc_id = keep_id").select("digest", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("text").alias("kept_text"))
     return texts.where("doc_id != keep_id").join(kept, ["digest", "share"]).where("text != kept_text").select("digest").distinct()
 
