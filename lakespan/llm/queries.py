@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, near_dedup
+from . import bpe, exact_dedup, near_dedup, quality, toxicity
 
 
 def tokenizer_path() -> str:
@@ -24,6 +24,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.trained(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.trained(docs, _table(spark, sf_dir, "labels")))
+
+
 OP10_SQL = """
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
@@ -41,7 +51,13 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    return {"op6_minhash_dedup": op6_minhash_dedup, "op7_bpe": op7_bpe, "op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op1_quality": op1_quality,
+        "op6_minhash_dedup": op6_minhash_dedup,
+        "op7_bpe": op7_bpe,
+        "op9_toxicity": op9_toxicity,
+        "op10_exact_dedup": op10_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict:
