@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, near_dedup, quality, toxicity
+from . import bpe, exact_dedup, mixing, near_dedup, quality, toxicity, url_filter
 
 
 def tokenizer_path() -> str:
@@ -29,6 +29,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.trained(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scheduled(_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
+#: (action, host, path prefix)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.trained(docs, _table(spark, sf_dir, "labels")))
@@ -53,8 +65,10 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 def queries() -> dict:
     return {
         "op1_quality": op1_quality,
+        "op3_mixing": op3_mixing,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_bpe": op7_bpe,
+        "op8_url_filter": op8_url_filter,
         "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
     }
