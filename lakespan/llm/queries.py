@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, mixing, near_dedup, quality, topk, toxicity, url_filter
+from . import bpe, exact_dedup, license_scan, mixing, near_dedup, quality, substring_dedup, topk, toxicity, url_filter
 
 
 def tokenizer_path() -> str:
@@ -60,6 +60,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(_table(spark, sf_dir, "documents"), digests=True).withColumnRenamed("kept", "kept_sha256")
+
+
 #: (action, host, path prefix)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -85,6 +89,7 @@ def queries() -> dict:
         "op1_quality": op1_quality,
         "op2_license_scan": op2_license_scan,
         "op3_mixing": op3_mixing,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_topk": op5_topk,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_bpe": op7_bpe,
