@@ -33,8 +33,11 @@ from pyspark.sql import functions as F
 
 from . import scratch, text
 from .components import components
+from .skew import join_counted
 
 SHINGLE, COORDINATES, BANDS = 5, 128, 32
+#: Members of a bucket whose pairs are listed at once; larger buckets are thinned first, exactly.
+SMALL_BUCKET = 16
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -107,49 +110,88 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.written(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     buckets = full.join(reps, "digest", "left_semi").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
     buckets = scratch.written(buckets.join(shared, "bucket"), "buckets")
 
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = scratch.written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "rep long, elements array<long>"), "sets")
-    links = tried = None
-    comps = None
+    tried = comps = pivots = None
     for step in ("first", "mixed", "rest"):
-        pairs = _pairs(buckets, comps, step, percent)
+        pairs = _pairs(buckets, comps, sets, pivots, step, percent)
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.written(pairs, "pairs")
-        found = scratch.written(_verified(pairs, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        comps = scratch.written(components(links), "components")
-
-    by_digest = reps.join(comps, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(by_digest, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        found = scratch.written(_verified(pairs, sets, percent), "verified")
+        if tried is None:  # in the first step each member, always the larger id, meets one leader
+            pivots = found.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), "common")
+        tried = found if tried is None else tried.unionByName(found)
+        comps = scratch.written(components(tried.where("linked").select("a", "b")), "components")
+
+    by_digest = reps.join(comps, F.col("rep") == F.col("node"), "left").select("digest", "rows", F.coalesce("component", "rep").alias("component"))
+    plain = ["doc_id", "n_shingles", "digest"]
+    rows = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select(plain)
+    out = join_counted(rows, by_digest, "digest", "rows", signed.count())
+    apart = signed.where("n_shingles = 0 OR doc_id IS NULL").select(*plain, F.col("doc_id").alias("component"))
+    out = out.select(*plain, "component").unionByName(apart)
+    component = F.col("component")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _pairs(buckets: DataFrame, comps: DataFrame | None, step: str, percent: int) -> DataFrame:
+def _split(buckets: DataFrame) -> DataFrame:
+    """The buckets that hold different components."""
+    split = buckets.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members")).where("x != y")
+    return buckets.join(split.select("bucket", "members"), "bucket")
+
+
+def _bounded(buckets: DataFrame, sets: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """Members that may be similar to another, with what bounds their intersections.
+
+    shared: shingles that some other member has too. pivot, inside: a document
+    that the member was compared with, and the shared shingles inside that
+    document; the other shared shingles lie outside of it. A pivot's own shared
+    shingles are all inside.
+    """
+    reps = buckets.select("rep", "n").distinct().join(pivots, "rep", "left")
+    counted = reps.select("rep").unionByName(reps.where("pivot IS NOT NULL").select(F.col("pivot").alias("rep"))).distinct()
+    single = sets.join(counted, "rep").select("rep", F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).where("c = 1")
+    alone = single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    shared = (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")
+    info = reps.join(alone, "rep", "left").select("rep", "n", "pivot", "common", shared).where(F.col("shared") * 100 >= F.col("n") * percent)
+    info = info.select("rep", "shared", F.coalesce("pivot", "rep").alias("pivot"), F.coalesce("common", "shared").alias("inside"))
+    return _split(buckets.drop("members").join(info, "rep"))
+
+
+def _cross(buckets: DataFrame, able: Column) -> DataFrame:
+    """Pairs in a bucket and different components for which able (over columns numbered 1 and 2) holds."""
+    left, right = (buckets.select("bucket", *(F.col(c).alias(f"{c}{k}") for c in buckets.columns if c != "bucket")) for k in (1, 2))
+    met = left.join(right, "bucket").where((F.col("rep1") < F.col("rep2")) & (F.col("component1") != F.col("component2")) & able)
+    return met.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
+
+
+def _pairs(buckets: DataFrame, comps: DataFrame | None, sets: DataFrame, pivots: DataFrame | None, step: str, percent: int) -> DataFrame:
     """Candidate pairs a < b that the step verifies.
 
     first: each member with the leader (least id) it meets in most buckets;
     mixed: members with leaders of another order, where components still differ;
-    rest: all pairs of a bucket that are in different components.
+    rest: all pairs of a bucket that are in different components; in large
+    buckets, those of them that can still be similar by what is known of their
+    intersections with the rest and with their pivots.
     """
     if comps is not None:
         comps = comps.withColumnsRenamed({"node": "rep"})
         buckets = buckets.join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        split = buckets.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-        buckets = buckets.join(split, "bucket")
+        buckets = _split(buckets)
     else:
         buckets = buckets.withColumn("component", F.col("rep"))
     if step == "rest":
-        left, right = (buckets.select("bucket", *(F.col(c).alias(f"{c}{k}") for c in ("rep", "n", "component"))) for k in (1, 2))
-        met = left.join(right, "bucket").where((F.col("rep1") < F.col("rep2")) & (F.col("component1") != F.col("component2")) & _near(F.col("n1"), F.col("n2"), percent))
-        return met.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
+        buckets = scratch.written(buckets, "split-buckets")
+        small = _cross(buckets.where(F.col("members") <= SMALL_BUCKET), _near(F.col("n1"), F.col("n2"), percent))
+        large = scratch.written(_bounded(buckets.where(F.col("members") > SMALL_BUCKET), sets, pivots, percent), "large-buckets")
+        outside = F.least(F.col("shared1") - F.col("inside1"), F.col("shared2") - F.col("inside2"))
+        most = F.least("shared1", "shared2", F.when(F.col("pivot1") == F.col("pivot2"), F.least("inside1", "inside2") + outside))
+        large = _cross(large, most * 100 >= (F.col("n1") + F.col("n2") - most) * percent)
+        return small.unionByName(large).distinct()
     order = F.col("rep") if step == "first" else F.xxhash64("rep")
     leaders = buckets.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "rep", "n", "component")).alias("l")).select("bucket", F.col("l.rep").alias("leader"), F.col("l.n").alias("m"), F.col("l.component").alias("other"))
     met = buckets.join(leaders, "bucket").where((F.col("rep") != F.col("leader")) & (F.col("component") != F.col("other")) & _near(F.col("n"), F.col("m"), percent))
@@ -160,7 +202,8 @@ def _pairs(buckets: DataFrame, comps: DataFrame | None, step: str, percent: int)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, common, linked: the sizes of the intersections of the full sets, and whether they suffice."""
     one = pairs.join(sets.select(F.col("rep").alias("b"), F.col("elements").alias("eb")), "b")
     two = one.join(sets.select(F.col("rep").alias("a"), F.col("elements").alias("ea")), "a")
     both = two.select("a", "b", F.size(F.array_intersect("ea", "eb")).cast("long").alias("common"), (F.size("ea") + F.size("eb")).cast("long").alias("sizes"))
-    return both.where(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent).select("a", "b")
+    return both.select("a", "b", "common", (F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent).alias("linked"))
