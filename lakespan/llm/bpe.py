@@ -172,9 +172,9 @@ def _encode(path: str, digests: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            texts, ids, decoded = text.text_column(batch), [], []
-            for a, z in text.slices(texts, SLICE_BYTES):
-                codes, chunks, offsets = text.coded_words(texts.slice(a, z - a))
+            ids, decoded = [], []
+            for _, _, texts in text.parts(batch, SLICE_BYTES):
+                codes, chunks, offsets = text.coded_words(texts)
                 known = encoder.chunks(chunks.to_pylist())
                 codes, offsets = codes.tolist(), offsets.tolist()
                 for i, k in zip(offsets, offsets[1:], strict=False):

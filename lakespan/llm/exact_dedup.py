@@ -129,8 +129,7 @@ class DigestLsm:
 def _digests(width: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text.text_column(batch)
-            out = [hashlib.sha256(b).digest()[:width] for a, z in text.slices(texts) for b in pc.ascii_lower(texts.slice(a, z - a)).cast(pa.large_binary()).to_pylist()]
+            out = [hashlib.sha256(b).digest()[:width] for _, _, texts in text.parts(batch) for b in pc.ascii_lower(texts).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "digest"])
 
     return of
@@ -196,6 +195,9 @@ def _differing(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of equal texts the one with the largest doc_id; all columns."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs that stay: of equal texts the one with the largest doc_id; all columns.
+
+    Rows that repeat a kept doc_id and its text stay too; they are one document.
+    """
+    kept = exact_groups(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]), "left_semi")

@@ -79,9 +79,8 @@ def sketches(elements: np.ndarray, offsets: np.ndarray, t: int = COORDINATES) ->
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = text.text_column(batch)
-        for a, z in text.slices(texts):
-            elements, offsets = shingle_sets(texts.slice(a, z - a))
+        for a, z, texts in text.parts(batch):
+            elements, offsets = shingle_sets(texts)
             sketch = sketches(elements, offsets).reshape(z - a, BANDS, -1)
             bands = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (z - a, BANDS)).copy()
             for k in range(sketch.shape[2]):
@@ -93,9 +92,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = text.text_column(batch)
-        for a, z in text.slices(texts):
-            elements, offsets = shingle_sets(texts.slice(a, z - a))
+        for a, z, texts in text.parts(batch):
+            elements, offsets = shingle_sets(texts)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(elements.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), lists], ["rep", "elements"])
 
@@ -207,3 +205,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     two = one.join(sets.select(F.col("rep").alias("a"), F.col("elements").alias("ea")), "a")
     both = two.select("a", "b", F.size(F.array_intersect("ea", "eb")).cast("long").alias("common"), (F.size("ea") + F.size("eb")).cast("long").alias("sizes"))
     return both.select("a", "b", "common", (F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent).alias("linked"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay: of each component the document with the smallest doc_id; all columns."""
+    kept = near_groups(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]), "left_semi")

@@ -186,9 +186,8 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, bins: in
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = text.text_column(batch)
-        for a, z in text.slices(texts):
-            x = features(texts.slice(a, z - a))
+        for a, z, texts in text.parts(batch):
+            x = features(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))], ["y", "x"])
 
 
@@ -211,9 +210,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text.text_column(batch)
-            for a, z in text.slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(model.score(features(texts.slice(a, z - a))))], ["doc_id", "score"])
+            for a, z, texts in text.parts(batch):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(model.score(features(texts)))], ["doc_id", "score"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = own.mapInArrow(score, "doc_id long, score double")
@@ -227,8 +225,8 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text.text_column(pa.RecordBatch.from_arrays([batch.column(place)], ["text"]))
-            good = [model.score(features(texts.slice(a, z - a))) >= THRESHOLD for a, z in text.slices(texts)]
+            own = pa.RecordBatch.from_arrays([batch.column(place)], ["text"])
+            good = [model.score(features(texts)) >= THRESHOLD for _, _, texts in text.parts(own)]
             yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
 
     return docs.mapInArrow(keep, schema)

@@ -38,7 +38,7 @@ from . import scratch, text
 
 WINDOW = 20
 #: Text bytes whose windows are gathered before they are sent, and documents for each hash bucket.
-SLICE_BYTES, BUCKET_DOCS = 8 << 20, 1500
+SLICE_BYTES, BUCKET_DOCS = 4 << 20, 1500
 _NO_ID = (1 << 63) - 1
 
 
@@ -140,9 +140,9 @@ def _half_windows(window: int, buckets: int):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = text.text_column(batch), _ids(batch)
-            for a, z in text.slices(texts, SLICE_BYTES):
-                w = Windows(texts.slice(a, z - a), window)
+            ids = _ids(batch)
+            for a, z, texts in text.parts(batch, SLICE_BYTES):
+                w = Windows(texts, window)
                 at = np.unique(w.look)
                 if not len(at):
                     continue
@@ -177,10 +177,10 @@ def _full_windows(window: int, buckets: int):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = text.text_column(batch), _ids(batch)
+            ids = _ids(batch)
             lists = batch.column(batch.schema.get_field_index("places"))
-            for a, z in text.slices(texts, SLICE_BYTES):
-                w = Windows(texts.slice(a, z - a), window)
+            for a, z, texts in text.parts(batch, SLICE_BYTES):
+                w = Windows(texts, window)
                 at = w.candidates(lists.slice(a, z - a))
                 if not len(at):
                     continue
@@ -221,10 +221,8 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(window: int, digests: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text.text_column(batch)
             half, first = (batch.column(batch.schema.get_field_index(c)) for c in ("places", "firsts"))
-            for a, z in text.slices(texts, SLICE_BYTES):
-                own = texts.slice(a, z - a)
+            for a, z, own in text.parts(batch, SLICE_BYTES):
                 flat, offsets = text.split_words(own)
                 keep = np.ones(len(flat), bool)
                 some = np.flatnonzero(pc.list_value_length(half.slice(a, z - a)).fill_null(0).to_numpy(zero_copy_only=False) > 0)

@@ -19,16 +19,11 @@ SLICE_BYTES = 4 << 20
 _U = np.uint64
 
 
-def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
-    """The column as large_string without nulls (null counts as empty)."""
-    return pc.fill_null(batch.column(batch.schema.get_field_index(name)).cast(pa.large_string()), "")
-
-
 def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about max_bytes of text each."""
+    """Row ranges of about max_bytes of text each (at least a row)."""
     if not len(texts):
         return
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(texts):
         base = ends[start - 1] if start else 0
@@ -37,6 +32,14 @@ def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int,
         start = stop
 
 
+def parts(batch: pa.RecordBatch, max_bytes: int = SLICE_BYTES, name: str = "text") -> Iterator[tuple[int, int, pa.Array]]:
+    """(first row, end, texts as large_string with null as empty) of parts of a batch; memory goes back after each."""
+    texts = batch.column(batch.schema.get_field_index(name))
+    for start, stop in slices(texts, max_bytes):
+        yield start, stop, pc.fill_null(texts.slice(start, stop - start).cast(pa.large_string()), "")
+        pa.default_memory_pool().release_unused()
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Flat words of all texts, and where each text's words begin (n + 1 offsets)."""
     parts = pc.ascii_split_whitespace(texts)

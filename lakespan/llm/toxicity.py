@@ -334,9 +334,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text.text_column(batch)
-            for a, z in text.slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(model.score(texts.slice(a, z - a)))], ["doc_id", "score"])
+            for a, z, texts in text.parts(batch):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(model.score(texts))], ["doc_id", "score"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = own.mapInArrow(score, "doc_id long, score double")
