@@ -36,7 +36,9 @@ def parts(batch: pa.RecordBatch, max_bytes: int = SLICE_BYTES, name: str = "text
     """(first row, end, texts as large_string with null as empty) of parts of a batch; memory goes back after each."""
     texts = batch.column(batch.schema.get_field_index(name))
     for start, stop in slices(texts, max_bytes):
-        yield start, stop, pc.fill_null(texts.slice(start, stop - start).cast(pa.large_string()), "")
+        # copied first: a kernel misreads a slice whose offsets do not start at 0 once it is cast
+        own = pa.concat_arrays([texts.slice(start, stop - start)])
+        yield start, stop, pc.fill_null(own.cast(pa.large_string()), "")
         pa.default_memory_pool().release_unused()
 
 
