@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import detecting
+
+_MODULES = (detecting,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.queries().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.oracle_sql().items()}
