@@ -101,7 +101,8 @@ def confusions_repaired(line: Column) -> Column:
     words = F.regexp_extract_all(line, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     gaps = F.split(line, r"[\p{L}\p{N}]+", -1)
     pieces = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(repaired(F.get(words, i)), F.lit(""))))
-    return F.array_join(pieces, "")
+    # without a digit no token has a digit majority, and letters stay as they are
+    return F.when(line.rlike("[0-9]"), F.array_join(pieces, "")).otherwise(line)
 
 
 def title_case(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, normalize, similarity
+from ..sources.sinks import written
 
 SIMILAR, AMBIGUOUS = 0.70, 15
 
@@ -41,19 +42,19 @@ def clusters(names: DataFrame, rounds: int = 30) -> DataFrame:
     left, right = forms.select("surname", F.col("node").alias("a"), F.col("name").alias("n1"), F.col("initial").alias("i1")), forms.select("surname", F.col("node").alias("b"), F.col("name").alias("n2"), F.col("initial").alias("i2"))
     close = left.join(right, "surname").where((F.col("a") > F.col("b")) & ~F.coalesce(F.col("i1") == F.col("i2"), F.lit(False)))
     close = close.where(similarity.combined(F.col("n1"), F.col("n2")) >= SIMILAR).select("a", "b")
-    links = by_initial.unionByName(close).where("a != b").distinct().persist()
+    links = written(by_initial.unionByName(close).where("a != b").distinct(), "name-links")
     label = forms.select(F.col("node"), F.col("node").alias("label"))
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        following = label.join(near, label["node"] == near["a"], "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
-        following = following.checkpoint() if following.sparkSession.sparkContext.getCheckpointDir() else following.persist()
+        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
+        following = label.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
+        following = written(following, "labels")
         changed = following.join(label.withColumnRenamed("label", "old"), "node").where("label != old").limit(1).count()
         label = following
         if not changed:
             break
-    by_form = forms.join(label, "node").select("surname", "initial", "name", F.col("label").alias("cluster"))
-    out = rows.join(by_form, (rows["surname"] == by_form["surname"]) & rows["initial"].eqNullSafe(by_form["initial"]) & (rows["name"] == by_form["name"])).select(rows["id"], rows["initial"], "cluster")
+    by_form = forms.join(label, "node").select(F.col("surname").alias("s"), F.col("initial").alias("i"), F.col("name").alias("n"), F.col("label").alias("cluster"))
+    out = rows.join(by_form, (F.col("surname") == F.col("s")) & F.col("initial").eqNullSafe(F.col("i")) & (F.col("name") == F.col("n"))).select("id", "initial", "cluster")
     bare = out.groupBy("cluster").agg((F.count(F.lit(1)) >= AMBIGUOUS).alias("many"), F.max("initial").isNull().alias("none"))
     return out.join(bare, "cluster").select("id", "cluster", (F.col("many") & F.col("none")).alias("ambiguous"))
 

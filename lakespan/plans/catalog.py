@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detecting
+from . import detecting, scoring_queries, text_queries
 
-_MODULES = (detecting,)
+_MODULES = (detecting, scoring_queries, text_queries)
 
 
 def queries() -> dict:
