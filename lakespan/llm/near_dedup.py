@@ -148,7 +148,7 @@ def _bounded(buckets: DataFrame, sets: DataFrame, pivots: DataFrame, percent: in
     shared: shingles that some other member has too. pivot, inside: a document
     that the member was compared with, and the shared shingles inside that
     document; the other shared shingles lie outside of it. A pivot's own shared
-    shingles are all inside.
+    shingles are all inside. buckets: where the member is, a few dozen at most.
     """
     reps = buckets.select("rep", "n").distinct().join(pivots, "rep", "left")
     counted = reps.select("rep").unionByName(reps.where("pivot IS NOT NULL").select(F.col("pivot").alias("rep"))).distinct()
@@ -157,7 +157,9 @@ def _bounded(buckets: DataFrame, sets: DataFrame, pivots: DataFrame, percent: in
     shared = (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")
     info = reps.join(alone, "rep", "left").select("rep", "n", "pivot", "common", shared).where(F.col("shared") * 100 >= F.col("n") * percent)
     info = info.select("rep", "shared", F.coalesce("pivot", "rep").alias("pivot"), F.coalesce("common", "shared").alias("inside"))
-    return _split(buckets.drop("members").join(info, "rep"))
+    rows = _split(buckets.drop("members").join(info, "rep"))
+    met = rows.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))
+    return rows.join(met, "rep")
 
 
 def _cross(buckets: DataFrame, able: Column) -> DataFrame:
@@ -188,7 +190,9 @@ def _pairs(buckets: DataFrame, comps: DataFrame | None, sets: DataFrame, pivots:
         large = scratch.written(_bounded(buckets.where(F.col("members") > SMALL_BUCKET), sets, pivots, percent), "large-buckets")
         outside = F.least(F.col("shared1") - F.col("inside1"), F.col("shared2") - F.col("inside2"))
         most = F.least("shared1", "shared2", F.when(F.col("pivot1") == F.col("pivot2"), F.least("inside1", "inside2") + outside))
-        large = _cross(large, most * 100 >= (F.col("n1") + F.col("n2") - most) * percent)
+        # a pair that meets in several buckets is listed in the least of them only
+        once = F.array_min(F.array_intersect("buckets1", "buckets2")) == F.col("bucket")
+        large = _cross(large, (most * 100 >= (F.col("n1") + F.col("n2") - most) * percent) & once)
         return small.unionByName(large).distinct()
     order = F.col("rep") if step == "first" else F.xxhash64("rep")
     leaders = buckets.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "rep", "n", "component")).alias("l")).select("bucket", F.col("l.rep").alias("leader"), F.col("l.n").alias("m"), F.col("l.component").alias("other"))
