@@ -150,16 +150,14 @@ def _bounded(buckets: DataFrame, sets: DataFrame, pivots: DataFrame, percent: in
     document; the other shared shingles lie outside of it. A pivot's own shared
     shingles are all inside. buckets: where the member is, a few dozen at most.
     """
-    reps = buckets.select("rep", "n").distinct().join(pivots, "rep", "left")
+    reps = buckets.groupBy("rep", "n", "component").agg(F.collect_list("bucket").alias("buckets")).join(pivots, "rep", "left")
     counted = reps.select("rep").unionByName(reps.where("pivot IS NOT NULL").select(F.col("pivot").alias("rep"))).distinct()
     single = sets.join(counted, "rep").select("rep", F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).where("c = 1")
     alone = single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-    shared = (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")
-    info = reps.join(alone, "rep", "left").select("rep", "n", "pivot", "common", shared).where(F.col("shared") * 100 >= F.col("n") * percent)
-    info = info.select("rep", "shared", F.coalesce("pivot", "rep").alias("pivot"), F.coalesce("common", "shared").alias("inside"))
-    rows = _split(buckets.drop("members").join(info, "rep"))
-    met = rows.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))
-    return rows.join(met, "rep")
+    shared = F.col("n") - F.coalesce("own", F.lit(0))
+    able = reps.join(alone, "rep", "left").withColumn("shared", shared).where(F.col("shared") * 100 >= F.col("n") * percent)
+    able = able.select("rep", "n", "component", "buckets", "shared", F.coalesce("pivot", "rep").alias("pivot"), F.coalesce("common", "shared").alias("inside"))
+    return _split(able.select("*", F.explode("buckets").alias("bucket")))
 
 
 def _cross(buckets: DataFrame, able: Column) -> DataFrame:
