@@ -109,7 +109,7 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     signed = scratch.written(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
-    buckets = full.join(reps, "digest", "left_semi").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    buckets = full.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
     buckets = scratch.written(buckets.join(shared, "bucket"), "buckets")
 
