@@ -28,37 +28,51 @@ def name_parts(names: DataFrame) -> DataFrame:
     return rows.withColumn("surname", F.lower(F.element_at("t", -1))).withColumn("initial", F.when(F.size("t") > 1, F.lower(F.left(F.element_at("t", 1), F.lit(1))))).drop("t")
 
 
+def _labels(nodes: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
+    """node, label: the smallest node that links lead to; each round's table is written and read again."""
+    both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "name-links")
+    label = nodes.select("node", F.col("node").alias("label"))
+    for _ in range(rounds):
+        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
+        following = label.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "label", F.least("label", F.coalesce("m", "label")).alias("lower"))
+        following = written(following, "labels")
+        label = following.select("node", F.col("lower").alias("label"))
+        if following.where("lower != label").isEmpty():
+            break
+    return label
+
+
 def clusters(names: DataFrame, rounds: int = 30) -> DataFrame:
     """id, cluster (its smallest id), ambiguous: names(id, name) linked within a surname.
 
-    Two names link when their initials agree or they are similar. Names of one
-    initial form one node, whatever their number, so pairs are compared only
-    between distinct spellings; components are least-label rounds.
+    Two names link when their initials agree or they are similar. All spellings
+    of one surname and initial link to the first of them; first only those firsts
+    are compared, a few dozen a surname, and then only spellings that are still
+    in different components, so a frequent surname costs no pairs of all its
+    spellings and no link between different components is lost.
     """
     rows = name_parts(names)
-    forms = rows.groupBy("surname", "initial", "name").agg(F.min("id").alias("node"))
-    same = forms.where("initial IS NOT NULL").groupBy("surname", "initial").agg(F.min("node").alias("b"))
-    by_initial = forms.join(same, ["surname", "initial"]).select(F.col("node").alias("a"), "b")
-    left, right = forms.select("surname", F.col("node").alias("a"), F.col("name").alias("n1"), F.col("initial").alias("i1")), forms.select("surname", F.col("node").alias("b"), F.col("name").alias("n2"), F.col("initial").alias("i2"))
-    close = left.join(right, "surname").where((F.col("a") > F.col("b")) & ~F.coalesce(F.col("i1") == F.col("i2"), F.lit(False)))
-    close = close.where(similarity.combined(F.col("n1"), F.col("n2")) >= SIMILAR).select("a", "b")
-    links = written(by_initial.unionByName(close).where("a != b").distinct(), "name-links")
-    label = forms.select(F.col("node"), F.col("node").alias("label"))
-    for _ in range(rounds):
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        following = label.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
-        following = written(following, "labels")
-        changed = following.join(label.withColumnRenamed("label", "old"), "node").where("label != old").limit(1).count()
-        label = following
-        if not changed:
-            break
+    forms = written(rows.groupBy("surname", "initial", "name").agg(F.min("id").alias("node")), "name-forms")
+    firsts = forms.where("initial IS NOT NULL").groupBy("surname", "initial").agg(F.min("node").alias("b"))
+    by_initial = forms.join(firsts, ["surname", "initial"]).select(F.col("node").alias("a"), "b").where("a != b")
+    heads = forms.join(firsts.select(F.col("b").alias("node")), "node", "left_semi").unionByName(forms.where("initial IS NULL").select("node", "surname", "initial", "name"))
+    links = by_initial.unionByName(_close(heads.withColumn("label", F.col("node"))))
+    label = _labels(forms, links, rounds)
+    rest = _close(forms.join(label, "node"))
+    label = _labels(forms, label.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b").unionByName(rest), rounds)
     by_form = forms.join(label, "node").select(F.col("surname").alias("s"), F.col("initial").alias("i"), F.col("name").alias("n"), F.col("label").alias("cluster"))
     out = rows.join(by_form, (F.col("surname") == F.col("s")) & F.col("initial").eqNullSafe(F.col("i")) & (F.col("name") == F.col("n"))).select("id", "initial", "cluster")
     bare = out.groupBy("cluster").agg((F.count(F.lit(1)) >= AMBIGUOUS).alias("many"), F.max("initial").isNull().alias("none"))
     return out.join(bare, "cluster").select("id", "cluster", (F.col("many") & F.col("none")).alias("ambiguous"))
 
 
+def _close(forms: DataFrame) -> DataFrame:
+    """a, b: similar names of one surname with different labels."""
+    left, right = (forms.select("surname", *(F.col(c).alias(f"{c}{k}") for c in ("node", "name", "label"))) for k in (1, 2))
+    met = left.join(right, "surname").where((F.col("node1") > F.col("node2")) & (F.col("label1") != F.col("label2")))
+    return met.where(similarity.combined(F.col("name1"), F.col("name2")) >= SIMILAR).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+
+
 def expanded(names: DataFrame, nicknames: DataFrame) -> DataFrame:
     """Names with the canonical names of their alias: nicknames(alias, canonical)."""
     return names.join(nicknames.withColumn("alias", F.lower("alias")), F.lower("name") == F.col("alias"), "left").select("id", "name", F.coalesce("canonical", "name").alias("canonical"))
