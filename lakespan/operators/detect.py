@@ -14,6 +14,8 @@ from ..functions.spans import contains_any, first, last, spans, tokens
 
 SIDE = 200
 CATEGORIES = list(fixed.RANKS)
+#: Rules that may match a text without a digit.
+LETTERS_ONLY = {"mrn.labeled", "mrn.patientID", "licensePlate.labeled", "name.prefix"}
 FIXED_SCORES = {"creditCard": 0.95, "email": 0.90, "address": 0.70, "driversLicense": 0.80, "passport": 0.80, "name": 0.65}
 #: What must hold of the matched text, by rule.
 VALID = {
@@ -64,15 +66,19 @@ def candidates(texts: DataFrame, categories: list[str] | None = None, doctype: s
     """keep..., category, rule, start, len, matched, before, after: spans that pass their checks."""
     wanted = set(categories or CATEGORIES)
     text = F.col("text")
-    arrays = []
+    none = F.array().cast("array<struct<category:string,rule:string,start:int,matched:string>>")
+    guarded: dict[str, list[Column]] = {}
     for category, rule, pattern, group in fixed.PATTERNS:
         if category not in wanted:
             continue
         gate = _gate(category, rule, F.col(doctype) if doctype else None)
 
         found = F.transform(spans(text, pattern), _span(category, rule, pattern if group else None))
-        arrays.append(found if gate is None else F.when(gate, found).otherwise(F.array().cast("array<struct<category:string,rule:string,start:int,matched:string>>")))
-    every = F.concat(*arrays)
+        need = "@" if category == "email" else "" if rule in LETTERS_ONLY else "[0-9]"
+        guarded.setdefault(need, []).append(found if gate is None else F.when(gate, found).otherwise(none))
+    # one cheap test of the text stands before all the patterns that need a digit
+    parts = [F.concat(*found) if not need else F.when(text.rlike(need), F.concat(*found)).otherwise(none) for need, found in guarded.items()]
+    every = F.when(text.isNotNull(), F.concat(*parts)).otherwise(none)
     carried = [F.col(k) for k in keep] + ([F.col(doctype)] if doctype and doctype not in keep else [])
 
     def sides(s: Column) -> Column:
