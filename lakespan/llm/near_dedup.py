@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, text
-from .components import components
+from .components import extended
 from .skew import join_counted
 
 SHINGLE, COORDINATES, BANDS = 5, 128, 32
@@ -124,7 +124,7 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
         if tried is None:  # in the first step each member, always the larger id, meets one leader
             pivots = found.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), "common")
         tried = found if tried is None else tried.unionByName(found)
-        comps = scratch.written(components(tried.where("linked").select("a", "b")), "components")
+        comps = extended(comps, found.where("linked").select("a", "b"))
 
     by_digest = reps.join(comps, F.col("rep") == F.col("node"), "left").select("digest", "rows", F.coalesce("component", "rep").alias("component"))
     plain = ["doc_id", "n_shingles", "digest"]

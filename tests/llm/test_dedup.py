@@ -119,7 +119,12 @@ def test_components(spark):
         x, y = sorted((find(a), find(b)))
         label[y] = x
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in label if any(x in p and p[0] != p[1] for p in links)}
+    want = {x: find(x) for x in label if any(x in p and p[0] != p[1] for p in links)}
+    assert got == want
+    known = None
+    for part in (links[:60], links[60:200], links[200:]):
+        known = components.extended(known, spark.createDataFrame(part, "a long, b long"))
+    assert {r.node: r.component for r in known.collect()} == want
 
 
 def _kept(rows, window):
