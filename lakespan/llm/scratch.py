@@ -19,9 +19,28 @@ def folder(spark: SparkSession) -> str:
     return base
 
 
+_PATHS: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{folder(spark).rstrip('/')}/lakespan-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _PATHS.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point to clear back to."""
+    return len(_PATHS)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables written since a mark, but for those that `keep` reads; nothing may read them any more."""
+    kept = " ".join(keep.inputFiles()) if keep is not None else ""
+    for path in _PATHS[since:]:
+        if path.rsplit("/", 1)[1] not in kept:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _PATHS.remove(path)

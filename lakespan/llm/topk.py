@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, queries of a block, dropped low bits, and the share of rows worth rescoring.
 BLOCK, QUERIES, QUANT, RESCORED = 8192, 512, 4, 0.01
+#: Tasks at most; each takes its pairs of blocks one after another.
+MOST_TASKS = 20_000
 #: Impact levels that part the segments, high to low; the last takes everything but impact 0.
 _LEVELS = (16, 8, 4, 2, 1)
 
@@ -127,7 +129,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     hashed = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     index = _packed(rows, hashed(blocks), "block").select("rows", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     queries = _packed(rows.where(is_query), hashed(parts), "part").withColumnRenamed("rows", "asked")
-    met = index.join(queries, "part").select("rows", "asked").repartition(blocks * parts)
+    met = index.join(queries, "part").select("rows", "asked").repartition(min(blocks * parts, MOST_TASKS))
     found = met.mapInArrow(_searched(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -149,3 +149,15 @@ def test_pipeline_on_a_small_folder(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_scratch_tables_are_cleared(spark):
+    from lakespan.llm import scratch
+
+    start = scratch.mark()
+    one, two = scratch.written(spark.range(3), "one"), scratch.written(spark.range(4), "two")
+    scratch.clear(spark, start, keep=two)
+    assert two.count() == 4 and scratch.mark() == start + 1
+    with pytest.raises(Exception, match="(?i)not exist|no such|not found"):
+        one.count()
+    scratch.clear(spark, start)
