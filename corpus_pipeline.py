@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's table; what earlier stages wrote is deleted as soon as the next one is written."""
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch.mark()
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.written(stage(spark, docs, sf_dir), f"stage{k}")
+        scratch.clear(spark, start, keep=docs)
     return docs
