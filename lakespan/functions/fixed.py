@@ -258,3 +258,16 @@ CATALOGUE = {
     "account.regex": "pii.account.v1", "routingNumber.aba-checksum": "pii.routing_number.v1", "phone.regex": "pii.phone.v1", "email.regex": "pii.email.v1",
     "itin.yy-bucket": "pii.itin.v1", "passport.regex": "pii.passport.v1", "dl.regex": "pii.dl.v1",
 }
+
+#: Names and codes of states.
+STATES = {
+    "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT", "delaware": "DE", "florida": "FL",
+    "georgia": "GA", "hawaii": "HI", "idaho": "ID", "illinois": "IL", "indiana": "IN", "iowa": "IA", "kansas": "KS", "kentucky": "KY", "louisiana": "LA", "maine": "ME",
+    "maryland": "MD", "massachusetts": "MA", "michigan": "MI", "minnesota": "MN", "mississippi": "MS", "missouri": "MO", "montana": "MT", "nebraska": "NE", "nevada": "NV",
+    "new hampshire": "NH", "new jersey": "NJ", "new mexico": "NM", "new york": "NY", "north carolina": "NC", "north dakota": "ND", "ohio": "OH", "oklahoma": "OK",
+    "oregon": "OR", "pennsylvania": "PA", "rhode island": "RI", "south carolina": "SC", "south dakota": "SD", "tennessee": "TN", "texas": "TX", "utah": "UT",
+    "vermont": "VT", "virginia": "VA", "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY", "district of columbia": "DC",
+}
+MORE_STATES = ["PR", "VI"]
+STREET_LINE = r"(?i)\b\d{1,5}\s+[A-Za-z][A-Za-z0-9\s.,#-]{1,50}\b(?:St(?:reet)?|Ave(?:nue)?|Blvd|Boulevard|Dr(?:ive)?|Ln|Lane|Rd|Road|Ct|Court|Pl(?:ace)?|Way|Cir(?:cle)?|Pkwy|Parkway|Hwy|Highway|Ter(?:race)?|Sq(?:uare)?|Loop)\b"
+ZIP_LINE = r"\b(\d{5})(?:-\d{4})?\b"

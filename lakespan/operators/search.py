@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, normalize
@@ -164,3 +164,14 @@ def preview(texts: DataFrame, terms: list[str], options: Options = Options()) ->
     """term, hits, documents, saturated."""
     hits = multi(texts, terms, options)
     return hits.groupBy("term").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("documents")).withColumn("saturated", F.col("hits") > PREVIEW_CAP)
+
+
+def grouped(hits: DataFrame, by: str = "doc_id") -> DataFrame:
+    """by, hits, terms, first: hits of a document (or of a term), with the first place."""
+    return hits.groupBy(by).agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_set("term")).alias("terms"), F.min("start").alias("first"))
+
+
+def navigated(hits: DataFrame) -> DataFrame:
+    """Adds previous and next: the places of a document's neighbouring hits."""
+    order = Window.partitionBy("doc_id").orderBy("start", "term")
+    return hits.withColumn("previous", F.lag("start").over(order)).withColumn("next", F.lead("start").over(order))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, normalize, similarity
 from ..functions.spans import tokens
-from ..operators import detect, entities, redact, report, search, terms
+from ..operators import address, detect, entities, redact, report, search, terms
 from ..sources.tables import corpus, fixture, table
 from ..streaming import live
 from .detecting import TEXTS, _re, _values, sql_found, sql_spans
@@ -263,6 +263,55 @@ def context_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOKENS_SQL = "SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[^\\s]+')) AS INTEGER) AS n, regexp_extract_all(text, '[^\\s]+')[1] AS first, regexp_extract_all(text, '[^\\s]+')[-1] AS last FROM conversations"
 
+def address_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return address.assembled(corpus(spark, sf_dir))
+
+
+def _address_sql() -> str:
+    names = "|".join(sorted(fixed.STATES, key=lambda n: (-len(n), n)))
+    codes = "|".join([*fixed.STATES.values(), *fixed.MORE_STATES])
+    named = "CASE regexp_extract(lower(l), '(" + names + ")', 1) " + " ".join(f"WHEN '{n}' THEN '{c}'" for n, c in fixed.STATES.items()) + " END"
+    ranges = ", ".join(f"({a}, {e}, '{s}')" for a, e, s in fixed.ZIP_RANGES)
+    exceptions = ", ".join(f"('{z}', '{s}')" for z, s in fixed.ZIP_OVERRIDES.items())
+    return f"""WITH {TEXTS}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM texts WHERE regexp_matches(text, '[0-9]{{5}}')),
+s AS (SELECT *, coalesce({named}, nullif(regexp_extract(l, '\\b({codes})\\b', 1), '')) AS st, regexp_matches(l, {_re(fixed.STREET_LINE)}) AS street FROM l),
+w AS (SELECT doc_id, i, l, list(l) OVER b AS block, coalesce(st, lag(st, 1) OVER o, lag(st, 2) OVER o, lag(st, 3) OVER o) AS state, bool_or(street) OVER b AS street FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY i), b AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+z AS (SELECT *, regexp_extract(l, {_re(fixed.ZIP_LINE)}, 1) AS zip FROM w WHERE regexp_matches(l, {_re(fixed.ZIP_LINE)})), t(a, e, s) AS (VALUES {ranges}), o(z, s) AS (VALUES {exceptions}),
+y AS (SELECT z.*, coalesce(o.s, t.s) AS by_zip FROM z LEFT JOIN o ON o.z = zip LEFT JOIN t ON CAST(left(zip, 3) AS INTEGER) BETWEEN a AND e)
+SELECT doc_id, CAST(i AS INTEGER) AS line, array_to_string(block, ', ') AS text, zip, state, CAST(CASE WHEN street AND state IS NOT NULL THEN 0.80 WHEN state IS NOT NULL THEN 0.65 ELSE 0.55 END AS DOUBLE) AS confidence
+FROM y WHERE (street OR state IS NOT NULL) AND NOT coalesce(state <> by_zip, false)"""
+
+
+#: An invented dimension of institutions.
+INSTITUTIONS = {"internal revenue service": "federal_agency", "first national bank": "financial_institution", "national bank": "financial_institution", "the archive": "library"}
+
+
+def header_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans whose document's header names an agency or a bank count less."""
+    texts = corpus(spark, sf_dir).withColumn("anchor", address.anchored(F.col("text"), INSTITUTIONS))
+    found = address.header_suppressed(detect.detected(texts, ["ssn", "npi", "name", "email"], keep=("doc_id", "anchor")), "anchor")
+    return found.select("doc_id", "category", "rule", "start", "anchor", F.round("confidence", 6).alias("confidence"))
+
+
+def _anchor_sql() -> str:
+    hit = lambda k: f"regexp_matches(lower(left(text, 512)), '(^|[^\\p{{L}}\\p{{N}}]){k}($|[^\\p{{L}}\\p{{N}}])')"
+    case = "CASE " + " ".join(f"WHEN {hit(k)} THEN '{address.ANCHORS.get(c, '')}'" for k, c in sorted(INSTITUTIONS.items(), key=lambda x: -len(x[0]))) + " END"
+    found = " UNION ALL ".join(f"SELECT '{c}' AS category, * FROM ({sql_found(c)})" for c in ("ssn", "npi", "name", "email"))
+    return f"""WITH {TEXTS}, h AS (SELECT doc_id, nullif({case}, '') AS anchor FROM texts), a AS ({found})
+SELECT doc_id, category, rule, start, anchor, round(CASE WHEN anchor IS NOT NULL AND category IN ('ssn', 'npi', 'name') THEN greatest(CASE category WHEN 'ssn' THEN 0.25 WHEN 'npi' THEN 0.3 ELSE 0 END, confidence * 0.6) ELSE confidence END, 6) AS confidence FROM a JOIN h USING (doc_id)"""
+
+
+def search_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits by document, and each hit's neighbours."""
+    hits = search.multi(corpus(spark, sf_dir), ["license", "released", "token"])
+    out = search.grouped(hits).select("doc_id", "hits", F.array_join("terms", ",").alias("terms"), "first")
+    last = search.navigated(hits).where("next IS NULL").select("doc_id", F.col("start").alias("last"))
+    return out.join(last, "doc_id")
+
+
+_GROUPED = " UNION ALL ".join(_literal_sql(t) for t in ("license", "released", "token"))
+GROUPED_SQL = f"WITH {TEXTS}, h AS ({_GROUPED}) SELECT doc_id, count(*) AS hits, array_to_string(list_sort(list_distinct(list(term))), ',') AS terms, min(start) AS first, max(start) AS last FROM h GROUP BY doc_id"
+
 _QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
@@ -271,6 +320,7 @@ _QUERIES = {
         (search_regex, SEARCH_REGEX_SQL), (search_multi_and, MULTI_SQL), (search_preview, PREVIEW_SQL), (search_top, f"WITH {TEXTS} SELECT doc_id, start, matched FROM ({_literal_sql('the')}) ORDER BY doc_id, start LIMIT 1000"),
         (search_category, CATEGORY_SQL), (surface_forms, SURFACE_SQL), (html_annotations, HTML_SQL), (html_layers, HTML_LAYERS_SQL), (html_findings, HTML_FINDINGS_SQL), (props_findings, None),
         (reverse_rationale, None), (stream_counts, STREAM_SQL), (stream_findings, STREAM_FINDINGS_SQL), (recent_queries, RECENT_SQL), (word_list, WORD_LIST_SQL), (nickname_expansion, NICKNAME_SQL), (context_tokens, TOKENS_SQL),
+        (address_lines, _address_sql()), (header_anchor, _anchor_sql()), (search_grouped, GROUPED_SQL),
     )
 }
 

@@ -50,6 +50,10 @@ FIXTURE = [
     "token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" tel 2125550147 reach us",
     "lp # 8ABC123 barcode serial; veh plate QRS 4567 car owner driver",
     "Mr. John Smith again with SSN 212-45-6789, mail jane.doe@example.com",
+    "Ship to\n450 Oak Avenue\nSuite 9\nBoston, Massachusetts 02110",
+    "77 Pine Rd\nAustin TX\n10001\nnothing\nmore\n\n90210-1234",
+    "Internal Revenue Service notice\nSSN 301-22-4455 for Mr. Roy Bean, provider npi 1234567893",
+    "First National Bank statement, national bank of nowhere, ssn 212-45-6788",
 ]
 
 SCHEMAS = {
