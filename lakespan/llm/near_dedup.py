@@ -110,19 +110,23 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     buckets = full.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
-    buckets = scratch.written(buckets.join(shared, "bucket"), "buckets")
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = scratch.written(buckets.join(shared, "bucket"), "shared-buckets")
+    degrees = buckets.groupBy("rep").agg(F.sum("members").alias("degree"))
+    buckets = scratch.written(buckets.drop("members").join(degrees, "rep"), "buckets")
 
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = scratch.written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "rep long, elements array<long>"), "sets")
+    leaders = scratch.written(_leaders(buckets, percent), "leaders")
     tried = comps = pivots = None
     for step in ("first", "mixed", "rest"):
-        pairs = _pairs(buckets, comps, sets, pivots, step, percent)
+        pairs = _ordered(leaders) if step == "first" else _pairs(buckets, comps, sets, pivots, step, percent)
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         found = scratch.written(_verified(pairs, sets, percent), "verified")
-        if tried is None:  # in the first step each member, always the larger id, meets one leader
-            pivots = found.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), "common")
+        if tried is None:
+            chosen = leaders.select("rep", "leader", F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
+            pivots = chosen.join(found, ["a", "b"]).select("rep", F.col("leader").alias("pivot"), "common")
         tried = found if tried is None else tried.unionByName(found)
         comps = extended(comps, found.where("linked").select("a", "b"))
 
@@ -167,38 +171,51 @@ def _cross(buckets: DataFrame, able: Column) -> DataFrame:
     return met.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
-def _pairs(buckets: DataFrame, comps: DataFrame | None, sets: DataFrame, pivots: DataFrame | None, step: str, percent: int) -> DataFrame:
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """a < b of pairs (rep, leader)."""
+    return pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+
+
+def _met(buckets: DataFrame, order: Column, percent: int) -> DataFrame:
+    """rep, leader, votes: in how many buckets a member meets a leader (first in order) of like size in another component."""
+    one = F.min(F.struct(order.alias("o"), "rep", "n", "component")).alias("l")
+    leaders = buckets.groupBy("bucket").agg(one).select("bucket", F.col("l.rep").alias("leader"), F.col("l.n").alias("m"), F.col("l.component").alias("other"))
+    met = buckets.join(leaders, "bucket").where((F.col("rep") != F.col("leader")) & (F.col("component") != F.col("other")) & _near(F.col("n"), F.col("m"), percent))
+    return met.groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("votes"))
+
+
+def _leaders(buckets: DataFrame, percent: int) -> DataFrame:
+    """rep, leader: the leader that each member meets in most buckets.
+
+    A bucket is led by the member with most company over all its buckets: of a
+    group of near copies that is the text that they were made from, if any, so
+    one comparison settles most members and bounds the others well.
+    """
+    met = _met(buckets.withColumn("component", F.col("rep")), F.struct(-F.col("degree"), F.col("rep")), percent)
+    return met.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("leader")).alias("o"), "leader")).alias("best")).select("rep", "best.leader")
+
+
+def _pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame, pivots: DataFrame, step: str, percent: int) -> DataFrame:
     """Candidate pairs a < b that the step verifies.
 
-    first: each member with the leader (least id) it meets in most buckets;
     mixed: members with leaders of another order, where components still differ;
     rest: all pairs of a bucket that are in different components; in large
     buckets, those of them that can still be similar by what is known of their
     intersections with the rest and with their pivots.
     """
-    if comps is not None:
-        comps = comps.withColumnsRenamed({"node": "rep"})
-        buckets = buckets.join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        buckets = _split(buckets)
-    else:
-        buckets = buckets.withColumn("component", F.col("rep"))
-    if step == "rest":
-        buckets = scratch.written(buckets, "split-buckets")
-        small = _cross(buckets.where(F.col("members") <= SMALL_BUCKET), _near(F.col("n1"), F.col("n2"), percent))
-        large = scratch.written(_bounded(buckets.where(F.col("members") > SMALL_BUCKET), sets, pivots, percent), "large-buckets")
-        outside = F.least(F.col("shared1") - F.col("inside1"), F.col("shared2") - F.col("inside2"))
-        most = F.least("shared1", "shared2", F.when(F.col("pivot1") == F.col("pivot2"), F.least("inside1", "inside2") + outside))
-        # a pair that meets in several buckets is listed in the least of them only
-        once = F.array_min(F.array_intersect("buckets1", "buckets2")) == F.col("bucket")
-        large = _cross(large, (most * 100 >= (F.col("n1") + F.col("n2") - most) * percent) & once)
-        return small.unionByName(large).distinct()
-    order = F.col("rep") if step == "first" else F.xxhash64("rep")
-    leaders = buckets.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "rep", "n", "component")).alias("l")).select("bucket", F.col("l.rep").alias("leader"), F.col("l.n").alias("m"), F.col("l.component").alias("other"))
-    met = buckets.join(leaders, "bucket").where((F.col("rep") != F.col("leader")) & (F.col("component") != F.col("other")) & _near(F.col("n"), F.col("m"), percent))
-    met = met.groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("votes"))
-    if step == "first":
-        met = met.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("leader")).alias("o"), "leader")).alias("best")).select("rep", "best.leader")
-    return met.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    comps = comps.withColumnsRenamed({"node": "rep"})
+    buckets = _split(buckets.drop("degree").join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    if step == "mixed":
+        return _ordered(_met(buckets, F.xxhash64("rep"), percent))
+    buckets = scratch.written(buckets, "split-buckets")
+    small = _cross(buckets.where(F.col("members") <= SMALL_BUCKET), _near(F.col("n1"), F.col("n2"), percent))
+    large = scratch.written(_bounded(buckets.where(F.col("members") > SMALL_BUCKET), sets, pivots, percent), "large-buckets")
+    outside = F.least(F.col("shared1") - F.col("inside1"), F.col("shared2") - F.col("inside2"))
+    most = F.least("shared1", "shared2", F.when(F.col("pivot1") == F.col("pivot2"), F.least("inside1", "inside2") + outside))
+    # a pair that meets in several buckets is listed in the least of them only
+    once = F.array_min(F.array_intersect("buckets1", "buckets2")) == F.col("bucket")
+    large = _cross(large, (most * 100 >= (F.col("n1") + F.col("n2") - most) * percent) & once)
+    return small.unionByName(large).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
