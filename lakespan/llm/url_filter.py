@@ -104,4 +104,4 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], outcome: Column
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("n"), F.sum(F.coalesce(F.col("bad").cast("long"), F.lit(0))).alias("bad"))
     out = join_counted(rows.drop("bad"), reputations(hosts), "host", "pages", pages.count())
     verdict = F.coalesce("action", F.when(F.col("bound") >= BLOCK_FROM, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("mean", 9).alias("reputation"))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("mean", 6).alias("reputation"))
