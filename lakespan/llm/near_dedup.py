@@ -116,7 +116,7 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     buckets = scratch.written(buckets.drop("members").join(degrees, "rep"), "buckets")
 
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "rep long, elements array<long>"), "sets")
+    sets = scratch.written(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "rep long, elements array<long>"), "sets")
     leaders = scratch.written(_leaders(buckets, percent), "leaders")
     tried = comps = pivots = None
     for step in ("first", "mixed", "rest"):
