@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..sources import sinks
 from ..sources.tables import corpus, table
 from .detecting import TEXTS, _any, _doctype_ctes, _re, sql_found
 
-#: Categories whose spans meet in the overlap queries.
+#: Categories of the queries over spans that meet; the queries named ..._all run over all 17.
 MEETING = ["ssn", "ein", "itin", "creditCard", "phone", "routingNumber", "npi", "account", "email", "dob", "mrn"]
 
 
@@ -80,8 +82,8 @@ d AS (SELECT *, 1 / (1 + exp(-({logit} + CASE {' '.join(context)} ELSE 0 END)))
 SELECT doc_id, category, rule, start, len, confidence, round(CASE WHEN category IN ('account', 'phone') AND confidence >= 0.7 THEN greatest(post, least(confidence, {_cut_sql('conservative')})) ELSE post END, 5) AS posterior FROM d"""
 
 
-def _meeting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir, MEETING).select("doc_id", "category", "rule", "start", "len", "matched", F.round("confidence", 6).alias("confidence"))
+def _meeting(spark: SparkSession, sf_dir: str, categories: list[str]) -> DataFrame:
+    return _found(spark, sf_dir, categories).select("doc_id", "category", "rule", "start", "len", "matched", F.round("confidence", 6).alias("confidence"))
 
 
 _ISLANDS = f"""r AS (SELECT *, start + len AS e, {_rank_sql()} AS rank FROM a),
@@ -89,25 +91,27 @@ o AS (SELECT *, row_number() OVER w AS place, CASE WHEN start >= max(e) OVER (PA
 i AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY place) AS island FROM o)"""
 
 
-def overlap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def overlap_scan(spark: SparkSession, sf_dir: str, categories: list[str] = MEETING) -> DataFrame:
     """Winners by cutoff and posterior (here the confidence), widened to their island."""
-    found = _meeting(spark, sf_dir)
+    found = _meeting(spark, sf_dir, categories)
     dim = F.broadcast(scoring.cutoffs(spark, scoring.preset("balanced")))
     rows = found.join(dim, "category").withColumn("meets", F.col("confidence") >= F.col("cutoff")).withColumn("posterior", F.col("confidence"))
     return overlap.survivors(overlap.resolved_by_posterior(rows)).select("doc_id", "category", "rule", "start", "len", "matched")
 
 
-OVERLAP_SCAN_SQL = f"""WITH a AS ({_sql_all(MEETING)}), {_ISLANDS},
+def _scan_sql(categories: list[str]) -> str:
+    return f"""WITH a AS ({_sql_all(categories)}), {_ISLANDS},
 s AS (SELECT *, min(start) OVER p AS s0, max(e) OVER p AS e0, row_number() OVER (PARTITION BY doc_id, island ORDER BY confidence >= {_cut_sql('balanced')} DESC, confidence DESC, rank DESC, place) AS n FROM i WINDOW p AS (PARTITION BY doc_id, island))
 SELECT doc_id, category, rule, s0 AS start, e0 - s0 AS len, matched FROM s WHERE n = 1"""
 
 
-def overlap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def overlap_search(spark: SparkSession, sf_dir: str, categories: list[str] = MEETING) -> DataFrame:
     """Winners by confidence with a tolerance, else rank, folded in order."""
-    return overlap.survivors(overlap.resolved_by_confidence(_meeting(spark, sf_dir))).select("doc_id", "category", "rule", "start", "len", "matched")
+    return overlap.survivors(overlap.resolved_by_confidence(_meeting(spark, sf_dir, categories))).select("doc_id", "category", "rule", "start", "len", "matched")
 
 
-OVERLAP_SEARCH_SQL = f"""WITH RECURSIVE a AS ({_sql_all(MEETING)}), {_ISLANDS},
+def _search_sql(categories: list[str]) -> str:
+    return f"""WITH RECURSIVE a AS ({_sql_all(categories)}), {_ISLANDS},
 p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY place) AS k FROM i),
 fold AS (SELECT doc_id, island, k, place AS best, confidence, rank FROM p WHERE k = 1
  UNION ALL SELECT p.doc_id, p.island, p.k, CASE WHEN CASE WHEN abs(p.confidence - f.confidence) > 0.02 THEN p.confidence > f.confidence ELSE p.rank > f.rank END THEN p.place ELSE f.best END,
@@ -117,20 +121,23 @@ best AS (SELECT doc_id, island, arg_max(best, k) AS best FROM fold GROUP BY ALL)
 SELECT doc_id, category, rule, s0 AS start, e0 - s0 AS len, matched FROM i JOIN best USING (doc_id, island) JOIN range USING (doc_id, island) WHERE place = best"""
 
 
-def overlap_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.suppressed_counts(overlap.resolved_by_confidence(_meeting(spark, sf_dir)))
+def overlap_suppressed(spark: SparkSession, sf_dir: str, categories: list[str] = MEETING) -> DataFrame:
+    return overlap.suppressed_counts(overlap.resolved_by_confidence(_meeting(spark, sf_dir, categories)))
 
 
-OVERLAP_SUPPRESSED_SQL = OVERLAP_SEARCH_SQL[: OVERLAP_SEARCH_SQL.rindex("SELECT doc_id, category")] + """, w AS (SELECT i.* FROM i JOIN best USING (doc_id, island) WHERE place = best)
+def _suppressed_sql(categories: list[str]) -> str:
+    search = _search_sql(categories)
+    return search[: search.rindex("SELECT doc_id, category")] + """, w AS (SELECT i.* FROM i JOIN best USING (doc_id, island) WHERE place = best)
 SELECT l.category, count(*) AS suppressed FROM i l JOIN w USING (doc_id, island) WHERE l.place <> w.place AND NOT (l.start = w.start AND l.e = w.e AND l.category = w.category) GROUP BY l.category"""
 
 
-def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merged_spans(spark: SparkSession, sf_dir: str, categories: list[str] = MEETING) -> DataFrame:
     """All spans merged where at most three characters part them."""
-    return overlap.merged(_meeting(spark, sf_dir), gap=3)
+    return overlap.merged(_meeting(spark, sf_dir, categories), gap=3)
 
 
-MERGED_SQL = f"""WITH a AS ({_sql_all(MEETING)}), r AS (SELECT doc_id, start, len, start + len AS e FROM a),
+def _merged_sql(categories: list[str]) -> str:
+    return f"""WITH a AS ({_sql_all(categories)}), r AS (SELECT doc_id, start, len, start + len AS e FROM a),
 o AS (SELECT *, CASE WHEN start > max(e) OVER (PARTITION BY doc_id ORDER BY start, len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3 OR row_number() OVER (PARTITION BY doc_id ORDER BY start, len) = 1 THEN 1 ELSE 0 END AS opens FROM r),
 i AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY start, len ROWS UNBOUNDED PRECEDING) AS run FROM o)
 SELECT doc_id, min(start) AS start, max(e) - min(start) AS len, count(*) AS n FROM i GROUP BY doc_id, run"""
@@ -174,23 +181,23 @@ NEVER_FLAG_SQL = f"""WITH a AS ({_sql_all(['email', 'phone', 'name'])}) SELECT d
 WHERE trim(regexp_replace(lower(matched), '\\s+', ' ', 'g')) NOT IN ('jane.doe@example.com', 'john smith') AND NOT regexp_full_match(matched, '[0-9().+ -]*0147')"""
 
 
-def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without what the balanced preset keeps, with counts."""
-    found = scoring.thresholded(_found(spark, sf_dir, MEETING), scoring.preset("balanced"))
+def redact_text(spark: SparkSession, sf_dir: str, categories: list[str] = MEETING) -> DataFrame:
+    """Texts without what the balanced preset keeps of the categories, with counts."""
+    found = scoring.thresholded(_found(spark, sf_dir, categories), scoring.preset("balanced"))
     return redact.redacted(corpus(spark, sf_dir), found)
 
 
-def _redact_sql() -> str:
-    return f"""WITH RECURSIVE {TEXTS}, a AS ({_sql_all(MEETING)}), k AS (SELECT doc_id, start, len FROM a WHERE confidence >= {_cut_sql('balanced')}),
+def _redact_sql(categories: list[str]) -> str:
+    return f"""WITH RECURSIVE {TEXTS}, a AS ({_sql_all(categories)}), k AS (SELECT doc_id, start, len FROM a WHERE confidence >= {_cut_sql('balanced')}),
 chars AS (SELECT DISTINCT doc_id, unnest(range(start, start + len)) AS i FROM k), hit AS (SELECT doc_id, list(i) AS cut FROM chars GROUP BY doc_id)
 SELECT doc_id, CASE WHEN cut IS NULL THEN text ELSE array_to_string(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN list_contains(cut, i - 1) THEN '█' ELSE substr(text, i, 1) END), '') END AS text,
  CAST(coalesce(len(cut), 0) AS INTEGER) AS excluded, CAST(length(text) - coalesce(len(cut), 0) AS INTEGER) AS surviving FROM texts LEFT JOIN hit USING (doc_id)"""
 
 
-def verify_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status of each layer and verdict of each document that had a finding; the terms are two that redaction leaves."""
+def verify_layers(spark: SparkSession, sf_dir: str, categories: list[str] = MEETING) -> DataFrame:
+    """Status of each layer and verdict of each document that had a finding of the categories; the terms are two that redaction leaves."""
     texts = corpus(spark, sf_dir)
-    found = scoring.thresholded(_found(spark, sf_dir, MEETING), scoring.preset("balanced"))
+    found = scoring.thresholded(_found(spark, sf_dir, categories), scoring.preset("balanced"))
     own = texts.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     out = sinks.written(redact.redacted(own, found), "redacted")
     digests = sinks.written(redact.digest(own, out), "digests")
@@ -199,7 +206,8 @@ def verify_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.select("doc_id", "layer", "status").unionByName(verdicts)
 
 
-VERIFY_SQL = f"""WITH {TEXTS}, a AS ({_sql_all(MEETING)}), k AS (SELECT doc_id, start, len FROM a WHERE confidence >= {_cut_sql('balanced')}),
+def _verify_sql(categories: list[str]) -> str:
+    return f"""WITH {TEXTS}, a AS ({_sql_all(categories)}), k AS (SELECT doc_id, start, len FROM a WHERE confidence >= {_cut_sql('balanced')}),
 chars AS (SELECT DISTINCT doc_id, unnest(range(start, start + len)) AS i FROM k), hit AS (SELECT doc_id, list(i) AS cut FROM chars GROUP BY doc_id),
 o AS (SELECT doc_id, array_to_string(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN list_contains(cut, i - 1) THEN '█' ELSE substr(text, i, 1) END), '') AS t FROM texts JOIN hit USING (doc_id)),
 s AS (SELECT doc_id, list_bool_or(list_transform(['jane.doe@example.com', 'JANE.DOE@EXAMPLE.COM', 'Jane.Doe@Example.Com', 'prescriber', 'PRESCRIBER', 'Prescriber', 'bank', 'BANK', 'Bank'], lambda x: contains(t, x))) AS left_ FROM o)
@@ -309,12 +317,14 @@ SELECT category, round(arg_max(a, k), 6) AS alpha, round(arg_max(b, k), 6) AS be
 _QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
-        (thresholds, THRESHOLDS_SQL), (posterior, _posterior_sql()), (overlap_scan, OVERLAP_SCAN_SQL), (overlap_search, OVERLAP_SEARCH_SQL), (overlap_suppressed, OVERLAP_SUPPRESSED_SQL),
-        (merged_spans, MERGED_SQL), (cross_page_groups, GROUPS_SQL), (name_clusters, NAME_CLUSTERS_SQL), (never_flag, NEVER_FLAG_SQL), (redact_text, _redact_sql()),
-        (verify_layers, VERIFY_SQL), (coverage_report, COVERAGE_SQL), (confidence_histogram, HISTOGRAM_SQL), (run_diff, RUN_DIFF_SQL), (audit_masked, _audit_sql()),
+        (thresholds, THRESHOLDS_SQL), (posterior, _posterior_sql()), (overlap_scan, _scan_sql(MEETING)), (overlap_search, _search_sql(MEETING)), (overlap_suppressed, _suppressed_sql(MEETING)),
+        (merged_spans, _merged_sql(MEETING)), (cross_page_groups, GROUPS_SQL), (name_clusters, NAME_CLUSTERS_SQL), (never_flag, NEVER_FLAG_SQL), (redact_text, _redact_sql(MEETING)),
+        (verify_layers, _verify_sql(MEETING)), (coverage_report, COVERAGE_SQL), (confidence_histogram, HISTOGRAM_SQL), (run_diff, RUN_DIFF_SQL), (audit_masked, _audit_sql()),
         (eval_cells, EVAL_SQL), (covered_regions, COVERED_SQL), (nearest_span, NEAREST_SQL), (zip_states, ZIP_SQL), (priors_fold, PRIORS_SQL),
     )
 }
+_BY_CATEGORIES = ((overlap_scan, _scan_sql), (overlap_search, _search_sql), (overlap_suppressed, _suppressed_sql), (merged_spans, _merged_sql), (redact_text, _redact_sql), (verify_layers, _verify_sql))
+_QUERIES |= {f"{f.__name__}_all": (partial(f, categories=detect.CATEGORIES), sql(detect.CATEGORIES)) for f, sql in _BY_CATEGORIES}
 
 
 def queries() -> dict:
