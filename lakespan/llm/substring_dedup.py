@@ -16,11 +16,13 @@ so doubling ends here.
 Places travel as packed arrays for each hash bucket, sorted and streamed bucket
 by bucket. Each task sends a window only once, at its first place there, so a
 passage that very many documents share costs its bucket one row a task. The text
-is dealt by doc_id once, and both joins by doc_id reuse that exchange.
+is dealt by doc_id and tag once, and both joins by them reuse that exchange.
 
 Null and empty texts have no words; texts shorter than a window keep all words.
-A null doc_id counts as the largest. Rows that repeat a doc_id and its text are
-judged alike: neither is earlier than the other. Other columns are ignored.
+A row is known by its doc_id and a 64-bit hash of its text (tag). A null doc_id
+counts as the largest; rows that share a doc_id, null or not, with different
+texts are ordered by tag. Rows that repeat a doc_id and its text are judged
+alike: neither is earlier than the other. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,6 +86,10 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return pc.fill_null(batch.column(0), _NO_ID).to_numpy(zero_copy_only=False)
 
 
+def _tags(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index("tag")).to_numpy(zero_copy_only=False)
+
+
 def _packets(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     """One row for each bucket: the columns' values in it, one array after the other."""
     order = np.argsort(bucket, kind="stable")
@@ -116,23 +122,20 @@ def _buckets(batches: Iterator[pa.RecordBatch], kinds: tuple[str, ...]) -> Itera
         yield joined()
 
 
-def _by_document(ids: np.ndarray, places: np.ndarray, sizes: np.ndarray | None = None) -> pa.RecordBatch:
-    """One row for each document: its places (runs of `sizes` places)."""
-    if sizes is not None:
-        places = np.repeat(places, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        ids = np.repeat(ids, sizes)
-    order = np.lexsort((places, ids))
-    ids, places = ids[order], places[order]
-    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
+def _by_document(ids: np.ndarray, tags: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """One row for each document: its places."""
+    order = np.lexsort((places, tags, ids))
+    ids, tags, places = ids[order], tags[order], places[order]
+    first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])))) if len(ids) else np.zeros(0, np.int64)
     lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(places, pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(ids[first], pa.int64()), lists], ["id", "places"])
+    return pa.RecordBatch.from_arrays([pa.array(ids[first], pa.int64()), pa.array(tags[first], pa.int64()), lists], ["id", "tag", "places"])
 
 
-_HALF = ("<u8", "<i8", "<i4", "?")
+_HALF = ("<u8", "<i8", "<i8", "<i4", "?")
 
 
 def _half_windows(window: int, buckets: int):
-    """Packets of (hash, id, place, repeated here) of the half windows looked at.
+    """Packets of (hash, id, tag, place, repeated here) of the half windows looked at.
 
     A half window that a task sees twice is known to be repeated: its places are
     in packets of their own (negative buckets), and one is sent on to tell others.
@@ -140,44 +143,44 @@ def _half_windows(window: int, buckets: int):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = _ids(batch)
+            ids, tags = _ids(batch), _tags(batch)
             for a, z, texts in text.parts(batch, SLICE_BYTES):
                 w = Windows(texts, window)
                 at = np.unique(w.look)
                 if not len(at):
                     continue
                 h, doc = w.half_hash[at], w.owner[at]
-                own, place = ids[a:z][doc], (at - w.offsets[doc]).astype(np.int32)
+                own, tag, place = ids[a:z][doc], tags[a:z][doc], (at - w.offsets[doc]).astype(np.int32)
                 _, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                 again = count[back] > 1
                 bucket = (h % np.uint64(buckets)).astype(np.int64)
                 sent = np.sort(first)
-                yield _packets(bucket[sent], h[sent], own[sent], place[sent], again[sent])
+                yield _packets(bucket[sent], h[sent], own[sent], tag[sent], place[sent], again[sent])
                 if again.any():
                     known = np.flatnonzero(again)
-                    apart = -1 - (text.mix(own[known].view(np.uint64), 5) % np.uint64(buckets)).astype(np.int64)
-                    yield _packets(apart, h[known], own[known], place[known], again[known])
+                    apart = -1 - (text.mix((own[known] ^ tag[known]).view(np.uint64), 5) % np.uint64(buckets)).astype(np.int64)
+                    yield _packets(apart, h[known], own[known], tag[known], place[known], again[known])
 
     return of
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for h, own, place, again in _buckets(batches, _HALF):
+    for h, own, tag, place, again in _buckets(batches, _HALF):
         _, back, count = np.unique(h, return_inverse=True, return_counts=True)
         stays = again | (count[back] > 1)
         if stays.any():
-            yield _by_document(own[stays], place[stays].astype(np.int64))
+            yield _by_document(own[stays], tag[stays], place[stays].astype(np.int64))
 
 
-_FULL = ("<u8", "<u8", "<i8", "<i4")
+_FULL = ("<u8", "<u8", "<i8", "<i8", "<i4")
 
 
 def _full_windows(window: int, buckets: int):
-    """Packets of (hash, other hash, id, place) of the windows to compare, by the bucket of their half window."""
+    """Packets of (hash, other hash, id, tag, place) of the windows to compare, by the bucket of their half window."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = _ids(batch)
+            ids, tags = _ids(batch), _tags(batch)
             lists = batch.column(batch.schema.get_field_index("places"))
             for a, z, texts in text.parts(batch, SLICE_BYTES):
                 w = Windows(texts, window)
@@ -188,13 +191,13 @@ def _full_windows(window: int, buckets: int):
                 other = text.hash_values(w.words, 1)[w.codes]
                 one, two = _at(w.hashes, start, window, 0), _at(other, start, window, 7)
                 doc = w.owner[start]
-                own, place = ids[a:z][doc], (start - w.offsets[doc]).astype(np.int32)
-                order = np.lexsort((place, own, two, one))
+                own, tag, place = ids[a:z][doc], tags[a:z][doc], (start - w.offsets[doc]).astype(np.int32)
+                order = np.lexsort((place, tag, own, two, one))
                 new = np.ones(len(order), bool)
                 new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
                 sent = np.sort(order[new])
                 bucket = (w.half_hash[w.look[at]] % np.uint64(buckets)).astype(np.int64)
-                yield _packets(bucket[sent], one[sent], two[sent], own[sent], place[sent])
+                yield _packets(bucket[sent], one[sent], two[sent], own[sent], tag[sent], place[sent])
 
     return of
 
@@ -210,12 +213,12 @@ def _at(words: np.ndarray, starts: np.ndarray, size: int, seed: int) -> np.ndarr
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first place of each distinct window."""
-    for one, two, own, place in _buckets(batches, _FULL):
-        order = np.lexsort((place, own, two, one))
+    for one, two, own, tag, place in _buckets(batches, _FULL):
+        order = np.lexsort((place, tag, own, two, one))
         new = np.ones(len(order), bool)
         new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
         first = order[new]
-        yield _by_document(own[first], place[first].astype(np.int64))
+        yield _by_document(own[first], tag[first], place[first].astype(np.int64))
 
 
 def _kept(window: int, digests: bool):
@@ -251,7 +254,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False
     """doc_id, n_words, n_removed, kept (the words that stay, joined by a space; with digests, its hex SHA-256)."""
     if window < 2:
         raise ValueError("a window has two words at least")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     buckets = max(64, docs.count() // BUCKET_DOCS)
     packet = "bucket long, n int, blob binary"
 
@@ -259,13 +262,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False
         return packets.repartition("bucket").sortWithinPartitions("bucket")
 
     def lists(places: DataFrame, name: str) -> DataFrame:
-        return places.groupBy("id").agg(F.flatten(F.collect_list("places")).alias(name))
+        return places.groupBy("id", "tag").agg(F.flatten(F.collect_list("places")).alias(name))
 
-    half = dealt(docs.mapInArrow(_half_windows(window, buckets), packet)).mapInArrow(_repeated, "id long, places array<int>")
+    half = dealt(docs.mapInArrow(_half_windows(window, buckets), packet)).mapInArrow(_repeated, "id long, tag long, places array<int>")
     half = scratch.written(lists(half, "places"), "half-windows")
     keyed = docs.withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    joined = keyed.join(half.hint("merge"), "id", "left").select("doc_id", "text", "places", "id")
-    full = dealt(joined.where("places IS NOT NULL").mapInArrow(_full_windows(window, buckets), packet)).mapInArrow(_firsts, "id long, places array<int>")
+    joined = keyed.join(half.hint("merge"), ["id", "tag"], "left").select("doc_id", "text", "places", "id", "tag")
+    full = dealt(joined.where("places IS NOT NULL").mapInArrow(_full_windows(window, buckets), packet)).mapInArrow(_firsts, "id long, tag long, places array<int>")
     firsts = lists(full, "firsts")
-    both = joined.join(firsts.hint("merge"), "id", "left").select("doc_id", "text", "places", "firsts")
+    both = joined.join(firsts.hint("merge"), ["id", "tag"], "left").select("doc_id", "text", "places", "firsts")
     return both.mapInArrow(_kept(window, digests), "doc_id long, n_words long, n_removed long, kept string")
