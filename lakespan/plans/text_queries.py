@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, normalize, similarity
 from ..functions.spans import tokens
-from ..operators import address, detect, entities, redact, report, search, terms
+from ..operators import address, detect, doctype, entities, rationale, redact, report, search, terms
 from ..sources.tables import corpus, fixture, table
 from ..streaming import live
 from .detecting import TEXTS, _re, _values, sql_found, sql_spans
@@ -188,17 +188,11 @@ def props_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reverse_rationale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For a span that a reader asks about: what each category says of it, and why."""
-    texts = fixture(spark).where("doc_id IN (-1, -5, -8, -19)")
-    found = detect.detected(texts).join(F.broadcast(spark.createDataFrame(sorted(fixed.PRESETS["balanced"].items()), "category string, cutoff double")), "category")
-    asked = spark.createDataFrame([(-1, "212-45-6789"), (-5, "(415) 555-2671"), (-8, "912-70-1234"), (-19, "XYZ998877"), (-19, "absent")], "doc_id long, snippet string")
-    rows = asked.join(texts, "doc_id").withColumn("at", F.instr("text", F.col("snippet")) - 1)
-    dims = rows.select("doc_id", "snippet", "at", F.explode(F.array(*map(F.lit, detect.CATEGORIES))).alias("category"))
-    hit = dims.join(found.select("doc_id", "category", "start", "len", "confidence", "cutoff"), ["doc_id", "category"], "left")
-    meets = (F.col("start") < F.col("at") + F.length("snippet")) & (F.col("at") < F.col("start") + F.col("len")) & (F.col("at") >= 0)
-    best = hit.groupBy("doc_id", "snippet", "at", "category").agg(F.max(F.when(meets, F.struct("confidence", "cutoff"))).alias("m"))
-    why = F.when(F.col("at") < 0, "snippetNotInContext").when(F.col("m").isNull(), "noMatch").when(F.col("m.confidence") >= F.col("m.cutoff"), "aboveThreshold").otherwise("belowThreshold")
-    return best.select("doc_id", "snippet", "category", why.alias("reason"), F.round("m.confidence", 6).alias("confidence"))
+    """For snippets of all texts (the first word with an @ or four digits, some of the fixture, one that is absent): what each category says of it, and why."""
+    texts = doctype.classified(corpus(spark, sf_dir)).select("doc_id", "text", F.col("primary").alias("doctype"))
+    own = texts.select("doc_id", F.regexp_extract("text", r"\S*(?:@|\d{4})\S*", 0).alias("snippet")).where("snippet != ''")
+    some = spark.createDataFrame([(-1, "212-45-6789"), (-5, "(415) 555-2671"), (-8, "912-70-1234"), (-19, "XYZ998877"), (-19, "absent")], "doc_id long, snippet string")
+    return rationale.explained(texts, own.unionByName(some), fixed.PRESETS["balanced"], "doctype", (["912-70-1234"], []), (["Jane.Doe@example.com"], [r"[(]415[)] [0-9-]+"]))
 
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
