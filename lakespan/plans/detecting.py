@@ -146,6 +146,11 @@ def saved_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.saved_patterns(corpus(spark, sf_dir), {k: v for k, v in fixed.SAVED.items() if k in ("caseNumber", "iban", "ipv4", "uuid", "iso8601")})
 
 
+def saved_patterns_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole library of ten patterns; four of them have look-arounds, which DuckDB lacks, so there is no SQL."""
+    return detect.saved_patterns(corpus(spark, sf_dir))
+
+
 def _saved_sql() -> str:
     return f"WITH {TEXTS} SELECT doc_id, rule AS label, start, matched FROM ({' UNION ALL '.join(sql_spans(fixed.SAVED[k], k) for k in ('caseNumber', 'iban', 'ipv4', 'uuid', 'iso8601'))})"
 
@@ -221,7 +226,7 @@ def _gated_sql() -> str:
 
 def queries() -> dict:
     out = {f"detect_{c}": _detector(c) for c in detect.CATEGORIES}
-    return out | {f.__name__: f for f in (finding_counts, saved_patterns, card_checks, classify_doctype, doctype_carry_over, gated_findings)}
+    return out | {f.__name__: f for f in (finding_counts, saved_patterns, saved_patterns_all, card_checks, classify_doctype, doctype_carry_over, gated_findings)}
 
 
 def oracle_sql() -> dict:
