@@ -88,6 +88,12 @@ def checked_terms(terms: list[str]) -> list[str]:
     return list(out.values())
 
 
+def _unspaced(text: Column) -> Column:
+    """Most letters of the first 500 characters are Han, Kana or Hangul: words have no bounds to test."""
+    letters = F.regexp_replace(F.left(text, F.lit(500)), r"\P{L}", "")
+    return F.length(F.regexp_replace(letters, r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]", "")) * 2 > F.length(letters)
+
+
 def _whole(text: Column, start: Column, size: Column) -> Column:
     """The neighbours of a hit are no word characters."""
     before, after = F.substring(text, F.greatest(start, F.lit(1)), F.lit(1)), F.substring(text, start + size + 1, F.lit(1))
@@ -127,7 +133,7 @@ def literal(texts: DataFrame, term: str, options: Options = Options(), keep: tup
         hits = F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.length(s["matched"]).alias("len")))
     rows = rows.select(*keep, "base", F.inline(hits))
     if options.whole_word:
-        rows = rows.where(_whole(F.col("base"), F.col("start"), F.col("len")))
+        rows = rows.where(_unspaced(F.col("base")) | _whole(F.col("base"), F.col("start"), F.col("len")))
     return rows.select(*keep, F.lit(term).alias("term"), "start", "len", F.substring("base", F.col("start") + 1, F.col("len")).alias("matched"), snippet(F.col("base"), F.col("start"), F.col("len")).alias("snippet"))
 
 
@@ -138,7 +144,7 @@ def regex(texts: DataFrame, pattern: str, whole_word: bool = False, keep: tuple[
         raise ValueError(f"pattern refused: {why}")
     rows = texts.where("text IS NOT NULL").select(*keep, "text", F.inline(spans(F.col("text"), pattern))).withColumn("len", F.length("matched"))
     if whole_word:
-        rows = rows.where(_whole(F.col("text"), F.col("start"), F.col("len")))
+        rows = rows.where(_unspaced(F.col("text")) | _whole(F.col("text"), F.col("start"), F.col("len")))
     return rows.select(*keep, F.lit(pattern).alias("term"), "start", "len", "matched", snippet(F.col("text"), F.col("start"), F.col("len")).alias("snippet"))
 
 
