@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +15,22 @@ def _total(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, component (its smallest node) for each node in links(a, b); nodes are longs.
 
     Each step takes the least neighbour by a grouped minimum with map-side
     combine and joins it back, so a node with very many neighbours is never
-    gathered in one task; a step's edges are written to the shared folder.
+    gathered in one task; a step's edges are written to the shared folder. Steps
+    go on until nothing changes; if a bound on the rounds comes first, that is an error.
     """
     edges = scratch.written(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    for n in itertools.count():
         state = _total(edges)
         if state == before or not state[0]:
             break
+        if n == rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
         before = state
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,13 @@ def name_parts(names: DataFrame) -> DataFrame:
     return rows.withColumn("surname", F.lower(F.element_at("t", -1))).withColumn("initial", F.when(F.size("t") > 1, F.lower(F.left(F.element_at("t", 1), F.lit(1))))).drop("t")
 
 
-def _labels(nodes: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
-    """node, label: the smallest node that links lead to; each round's table is written and read again."""
+def _labels(nodes: DataFrame, links: DataFrame, rounds: int | None) -> DataFrame:
+    """node, label: the smallest node that links lead to, when nothing changes any more; each round's table is written and read again."""
     both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "name-links")
     label = nodes.select("node", F.col("node").alias("label"))
-    for _ in range(rounds):
+    for n in itertools.count():
+        if n == rounds:
+            raise RuntimeError(f"labels still change after {rounds} rounds")
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
         following = label.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "label", F.least("label", F.coalesce("m", "label")).alias("lower"))
         following = written(following, "labels")
@@ -42,7 +46,7 @@ def _labels(nodes: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
     return label
 
 
-def clusters(names: DataFrame, rounds: int = 30) -> DataFrame:
+def clusters(names: DataFrame, rounds: int | None = None) -> DataFrame:
     """id, cluster (its smallest id), ambiguous: names(id, name) linked within a surname.
 
     Two names link when their initials agree or they are similar. All spellings
