@@ -16,8 +16,9 @@ of near copies costs a few pairs for each member and still no link between
 different components is lost. Verification intersects the full sets.
 
 Empty texts, null texts and texts without words have an empty set and link to
-nothing. Rows repeated with one doc_id get one component. Other columns are
-ignored, whatever their names.
+nothing. Rows repeated with one doc_id get one component. Rows with a null
+doc_id link to nothing either: they are kept, with a null component_id, though
+their text may have copies. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
