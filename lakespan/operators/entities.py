@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, normalize, similarity
-from ..sources.sinks import written
+from ..sources.scratch import written
+from .components import components
 
 SIMILAR, AMBIGUOUS = 0.70, 15
 
@@ -31,19 +30,9 @@ def name_parts(names: DataFrame) -> DataFrame:
 
 
 def _labels(nodes: DataFrame, links: DataFrame, rounds: int | None) -> DataFrame:
-    """node, label: the smallest node that links lead to, when nothing changes any more; each round's table is written and read again."""
-    both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "name-links")
-    label = nodes.select("node", F.col("node").alias("label"))
-    for n in itertools.count():
-        if n == rounds:
-            raise RuntimeError(f"labels still change after {rounds} rounds")
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        following = label.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "label", F.least("label", F.coalesce("m", "label")).alias("lower"))
-        following = written(following, "labels")
-        label = following.select("node", F.col("lower").alias("label"))
-        if following.where("lower != label").isEmpty():
-            break
-    return label
+    """node, label: the smallest node that links lead to, when nothing changes any more."""
+    found = components(written(links, "name-links"), rounds)
+    return written(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label")), "labels")
 
 
 def clusters(names: DataFrame, rounds: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, fixed
 from ..operators import detect, entities, overlap, redact, report, scoring, terms
-from ..sources import sinks
+from ..sources import scratch
 from ..sources.tables import corpus, table
 from .detecting import TEXTS, _any, _doctype_ctes, _re, sql_found
 
@@ -199,8 +199,8 @@ def verify_layers(spark: SparkSession, sf_dir: str, categories: list[str] = MEET
     texts = corpus(spark, sf_dir)
     found = scoring.thresholded(_found(spark, sf_dir, categories), scoring.preset("balanced"))
     own = texts.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    out = sinks.written(redact.redacted(own, found), "redacted")
-    digests = sinks.written(redact.digest(own, out), "digests")
+    out = scratch.written(redact.redacted(own, found), "redacted")
+    digests = scratch.written(redact.digest(own, out), "digests")
     results = redact.layers(own, found, out, digests, ["jane.doe@example.com", "prescriber", "bank"])
     verdicts = redact.verdict(results).select("doc_id", F.lit("verdict").alias("layer"), "status")
     return results.select("doc_id", "layer", "status").unionByName(verdicts)

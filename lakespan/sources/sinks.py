@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +27,6 @@ def coverage_csv(report: DataFrame, path: str) -> None:
     coverage_lines(report).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that the cluster shares and read again, so that checks see the output, not the plan."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lakespan"
-    path = f"{base.rstrip('/')}/lakespan-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def redacted_text(out: DataFrame, path: str) -> None:
     """The redacted texts as Parquet, to be read again by the verification layers."""
     out.write.mode("overwrite").parquet(path)

@@ -2,8 +2,7 @@
 
 import pytest
 
-from lakespan.llm import components
-from lakespan.operators import entities
+from lakespan.operators import components, entities
 
 
 def test_a_chain_of_more_than_thirty_links(spark):
