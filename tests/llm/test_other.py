@@ -24,18 +24,38 @@ def test_license_scan(spark):
         at = [i for i, _ in places]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(at, default=None), max(at, default=None))
         assert r.base_labels == ",".join(sorted({x for _, x in places})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
-        best = {}
-        for s in range(0, max(len(words), 1), license_scan.BLOCK // 2):
-            block = set(words[s : s + license_scan.BLOCK])
-            for t, label in license_scan.TEMPLATES.items():
-                own = set(t.split())
-                if len(block & own) >= license_scan.CONTAINED * len(own) - 1e-9:
-                    best[label] = max(best.get(label, 0), len(block & own) / len(own))
+        best, step = {}, license_scan.block_step()
+        for s in range(0, max(len(words), 1), step):
+            block, family = set(words[s : s + 2 * step]), {}
+            for t in license_scan.TEMPLATES:
+                own = set(t.words())
+                if len(block & own) >= license_scan.CONTAINED * len(own) - 1e-9 and set(t.must) <= block:
+                    family[t.family] = max(family.get(t.family, (0, 0, "")), (len(block & own) / len(own), len(own), t.label))
+            for share, _, label in family.values():
+                best[label] = max(best.get(label, 0), share)
         assert set(filter(None, r.labels.split(","))) == {x for _, x in places} | set(best)
         assert r.score == pytest.approx(1.0 if places else max(best.values(), default=0.0))
     assert license_scan.scanned(docs.limit(0)).count() == 0
 
 
+def test_each_notice_gets_its_own_label_only(spark):
+    rng = random.Random(4)
+    rows = [(k, t.text.upper() if k % 2 else " ".join(f"f{rng.randrange(999)}" for _ in range(k * 13)) + " " + t.text + " tail" * k, t.label) for k, t in enumerate(license_scan.TEMPLATES)]
+    more = [("licensed under the GNU General Public License", "gpl"), ("released under the terms of the gnu general public license", "gpl"), ("Licensed under the Mozilla Public License", "mpl"), ("Licensed under CC BY 4.0.", "cc-by")]
+    rows += [(100 + k, t, label) for k, (t, label) in enumerate(more)] + [(None, "the license of the general public by a person under the terms", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    # the words "cc by" are a base phrase, whose label stays
+    want = {k: ",".join(sorted({label} | ({"cc-by"} if " cc by " in t.lower() else set()))) for k, t, label in rows}
+    assert {r.doc_id: r.labels for r in license_scan.scanned(docs.select("doc_id", "text")).collect()} == want
+
+
+def test_a_long_template_is_found_at_any_offset(spark):
+    long = license_scan.Template("it's", "own", " ".join(f"t{k}" for k in range(200)), ("t3",))
+    rows = [(k, "x " * (37 * k) + long.text + " y" * 1000) for k in range(12)] + [(99, " ".join(f"t{k}" for k in range(3, 162))), (98, " ".join(f"t{k}" for k in range(3, 170)))]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scanned(spark.createDataFrame(rows, "doc_id long, text string"), (long,)).collect()}
+    assert got == {k: ("it's", 1.0) for k in range(12)} | {99: ("", 0.0), 98: ("it's", 167 / 200)}
+
+
 def test_schedule_keeps_the_weights(spark):
     rows = [(i, ["a", "b", None, "d"][0 if i % 3 else i % 4]) for i in range(4000)] + [(5, "a"), (None, "b")]
     docs = spark.createDataFrame([(i, s, 1) for i, s in rows], "doc_id long, source string, slot int")
@@ -152,12 +172,12 @@ def test_pipeline_on_a_small_folder(spark, tmp_path):
 
 
 def test_scratch_tables_are_cleared(spark):
-    from lakespan.llm import scratch
+    from lakespan.sources import scratch
 
     start = scratch.mark()
     one, two = scratch.written(spark.range(3), "one"), scratch.written(spark.range(4), "two")
-    scratch.clear(spark, start, keep=two)
-    assert two.count() == 4 and scratch.mark() == start + 1
+    scratch.clear(spark, start, keep=("two",))
+    assert two.count() == 4 and scratch.mark() != start
     with pytest.raises(Exception, match="(?i)not exist|no such|not found"):
         one.count()
     scratch.clear(spark, start)
