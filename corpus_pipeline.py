@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakespan.llm import bpe, exact_dedup, mixing, near_dedup, quality, scratch
+from lakespan.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from lakespan.llm.queries import tokenizer_path
+from lakespan.sources import scratch
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch.mark()
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.written(stage(spark, docs, sf_dir), f"stage{k}")
-        scratch.clear(spark, start, keep=docs)
+        scratch.clear(spark, start, keep=(f"stage{k}",))
     return docs

@@ -14,10 +14,12 @@ def join_counted(large: DataFrame, small: DataFrame, key: str, rows: str, total:
 
     Keys with at least total / 1000 rows (at most 1000 of them, as the rows add
     up to total) are joined by broadcast where the large side lies; the rest is
-    shuffled by key.
+    shuffled by key. More hot keys than that mean that total is too small: an error.
     """
     least = max(2, -(-total // HOT_SHARE))
-    hot = small.where(F.col(rows) >= least).limit(HOT_SHARE)
+    hot = small.where(F.col(rows) >= least)
+    if hot.count() > HOT_SHARE:
+        raise ValueError(f"more than {HOT_SHARE} keys with {least} rows: the total of {total} rows is too small")
     one = large.join(F.broadcast(hot), key)
     rest = large.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.where(F.col(rows) < least), key)
     return one.unionByName(rest.select(one.columns))

@@ -36,7 +36,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch, text
+from ..sources import scratch
+from . import text
 
 WINDOW = 20
 #: Text bytes whose windows are gathered before they are sent, and documents for each hash bucket.
