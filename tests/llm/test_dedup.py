@@ -42,20 +42,38 @@ def test_exact_other_forms(spark):
 
 def test_lsm_index_keeps_smallest_over_runs():
     rng = np.random.default_rng(0)
-    lsm, want = exact_dedup.DigestLsm(memtable_rows=50, fanout=3), {}
-    for _ in range(40):
-        keys = rng.integers(0, 300, 20)
+    lsm, want, n = exact_dedup.DigestLsm(memtable_rows=50, fanout=3), {}, {}
+    for _ in range(41):
+        keys = rng.integers(0, 500, 20)
         digests = np.array([hashlib.sha256(str(k).encode()).digest() for k in keys], "S32")
         idents = rng.integers(-1000, 1000, 20)
-        lsm.put(digests, idents)
+        if lsm.put(digests, idents):
+            lsm.add(lsm.flushed())
         for k, v in zip(keys, idents, strict=True):
-            want[k] = min(want.get(k, 10**6), v)
-    ask = np.array([hashlib.sha256(str(k).encode()).digest() for k in range(301)], "S32")
-    got = lsm.smallest(ask)
-    assert [got[k] for k in range(301)] == [want.get(k, (1 << 63) - 1) for k in range(301)]
-    lsm.compact()
-    assert len(lsm.runs) == 1 and lsm.runs[0].counts.sum() == 800
-    assert lsm.runs[0].bloom.maybe(lsm.runs[0].digests).all()
+            want[k], n[k] = min(want.get(k, 10**6), v), n.get(k, 0) + 1
+    lsm.add(lsm.flushed())
+    assert 1 < len(lsm.runs) <= 2 * len(lsm.tiers) and sum(r.counts.sum() for r in lsm.runs) == 820
+    hits, (asked, passed, found) = lsm.repeated()
+    by = {d: (i, c) for d, i, c in zip(hits.digests, hits.idents, hits.counts, strict=True)}
+    assert by == {np.array([hashlib.sha256(str(k).encode()).digest()], "S32")[0]: (want[k], c) for k, c in n.items() if c > 1}
+    assert asked > passed >= found > 0
+    run = lsm.runs[0]
+    assert run.filter().maybe(run.digests).all() and (exact_dedup.Bloom(bits=run.filter().packed()).bits == run.filter().bits).all()
+
+
+def test_filters_are_asked_before_runs(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 500)
+    rows = [(i, f"text {i % 1500}" if i % 3 else "hot") for i in range(6000)]
+    counts = {}
+    out = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), counts=counts).collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in out} == {(i, max(g), len(g)) for g in groups.values() for i in g} and len(out) == 6000
+    assert counts["asked"] > counts["passed"] >= counts["found"] > 0
+    alone = {}
+    exact_dedup.exact_groups(spark.createDataFrame([(i, f"own {i}") for i in range(4000)], "doc_id long, text string").repartition(8), counts=alone)
+    assert alone["found"] == 0 and alone["passed"] < alone["asked"] / 10
 
 
 def _edited(rng, words, share):
