@@ -76,21 +76,24 @@ def _op8_sql() -> str:
     """The same rules and estimates, written over grouped tables."""
     fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2])))
     action = " ".join(f"WHEN '{h}{p}' THEN '{a}'" for a, h, p in URL_RULES)
-    double = ", ".join(f"'{d}'" for d in url_filter.DOUBLE_SUFFIXES)
+    double = ", ".join(f"'{d}'" for d in url_filter.SUFFIXES)
+
+    marks = url_filter.MARKS.replace("'", "''")
 
     def strength(units: str) -> str:
         spread = "m * (1 - m)"
         share = f"CASE WHEN {spread} * (sn - sn2 / sn - (k - 1)) > 0 THEN (s - {spread} * (k - 1)) / ({spread} * (sn - sn2 / sn - (k - 1))) ELSE 0.5 END"
         return f"""(SELECT CASE WHEN k < 2 THEN 1.0 ELSE (1 - r) / r END FROM (SELECT k, least(greatest({share}, 0.01), 0.99) AS r
-          FROM (SELECT count(*) AS k, CAST(sum(n) AS DOUBLE) AS sn, CAST(sum(n * n) AS DOUBLE) AS sn2, sum(n * pow(bad / n - m, 2)) AS s, any_value(m) AS m FROM {units}, mean)))"""
+          FROM (SELECT count(*) AS k, CAST(sum(n) AS DOUBLE) AS sn, CAST(sum(n * n) AS DOUBLE) AS sn2, sum(n * pow(bad / n - m, 2)) AS s, any_value(m) AS m FROM {units}, mean WHERE n > 0)))"""
 
     return f"""
-WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
-r AS (SELECT *, CASE {fits} END AS rule FROM p),
-h AS (SELECT host, string_split(host, '.') AS l, count(*) AS n, CAST(count(*) FILTER (regexp_matches(host, '(^|[.-])({"|".join(url_filter.SEED_TERMS)})([.-]|$)')) AS DOUBLE) AS bad FROM p GROUP BY host),
+WITH u AS (SELECT page_id, regexp_replace(html, '{url_filter.TAG}', ' ', 'g') AS plain, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+p0 AS (SELECT page_id, plain, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+p AS (SELECT page_id, host, path, regexp_matches(host, '(^|[.-])({"|".join(url_filter.SEED_TERMS)})([.-]|$)') OR len(regexp_extract_all(plain, '{marks}')) >= len(regexp_extract_all(plain, '{url_filter.WORD}')) * {url_filter.JUNK_SHARE} AS bad FROM p0),
+r AS (SELECT page_id, host, path, CASE {fits} END AS rule FROM p),
+h AS (SELECT host, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS l, count(bad) AS n, CAST(count(*) FILTER (bad) AS DOUBLE) AS bad FROM p GROUP BY host),
 x AS (SELECT *, CASE WHEN array_to_string(l[-2:], '.') IN ({double}) THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix, CASE WHEN array_to_string(l[-2:], '.') IN ({double}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain FROM h),
-mean AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS m FROM h),
+mean AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 1) / (sum(n) + 2) ELSE 0 END AS m FROM h),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM x GROUP BY ALL), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 k AS (SELECT {strength("s")} AS ks, {strength("d")} AS kd, {strength("x")} AS kh),
 s2 AS (SELECT suffix, (ks * m + bad) / (n + ks) AS above FROM s, k, mean), d2 AS (SELECT domain, (above * kd + bad) / (n + kd) AS prior FROM d JOIN s2 USING (suffix), k),

@@ -134,7 +134,7 @@ def test_url_filter(spark):
     ]
     want = ["www.example.com/en/", "example.com/en/", "com/", "net/es/", None, None, None, None, "com/", None, "net/fr/", None]
     pages = spark.createDataFrame([(i, u, "q") for i, u in enumerate(urls)] + [(0, urls[0], "q")], "page_id long, url string, host string")
-    rows = url_filter.judged(pages.drop("host").withColumnRenamed("url", "url"), queries.URL_RULES).collect()
+    rows = url_filter.judged(pages, queries.URL_RULES).collect()
     assert len(rows) == len(urls) + 1
     by = {r.page_id: r for r in rows}
     assert [by[i].rule for i in range(len(urls))] == want
@@ -151,6 +151,57 @@ def test_reputation_shrinks(spark):
     assert rows["good.b.org"].mean < rows["new.b.org"].mean < rows["one.a.org"].mean < rows["spam.a.org"].mean
 
 
+def _strength(units, m):
+    units = [(n, b) for n, b in units if n]
+    n, k = sum(n for n, _ in units), len(units)
+    if k < 2:
+        return 1.0
+    s, spread = sum(n * (b / n - m) ** 2 for n, b in units), m * (1 - m)
+    below = spread * (n - sum(x * x for x, _ in units) / n - (k - 1))
+    r = min(max((s - spread * (k - 1)) / below if below > 0 else 0.5, 0.01), 0.99)
+    return (1 - r) / r
+
+
+def test_pages_against_brute_force(spark):
+    rng = random.Random(9)
+    shares = {"a.bad.org": 0.9, "b.bad.org": 0.8, "c.fine.org:80": 0.05, "u@d.fine.org": 0.0, "x.foo.co.nz": 0.7, "y.foo.co.nz": 0.2, "z.bar.co.nz": 0.5, "pills.shop.com": 0.0, "one.bad.org": 1.0, "lone.net": 1.0}
+    rows = [(k, f"http://{h}/p{'x' * rng.choice([1, 5000])}", None if rng.random() < 0.1 else "<p>" + ("so### it%%% goes&amp;&amp;&amp;" if rng.random() < p else "so it goes") + "</p>", "q") for k, (h, p) in enumerate((h, p) for h, p in shares.items() for _ in range(1 if h in ("one.bad.org", "lone.net") else 25))]
+    pages = spark.createDataFrame([*rows, (None, None, None, "q"), rows[0]], "page_id long, url string, html string, bad string")
+    out = url_filter.judged(pages, []).collect()
+    assert len(out) == len(rows) + 2
+    seen = {}
+    for _, url, html, _ in [*rows, (0, "", None, ""), rows[0]]:
+        host = url.split("/")[2] if url else ""
+        n, b = seen.get(host, (0, 0))
+        bad = True if "pills" in host else None if html is None else "###" in html
+        seen[host] = (n + (bad is not None), b + bool(bad))
+    m = (sum(b for _, b in seen.values()) + 1) / (sum(n for n, _ in seen.values()) + 2)
+
+    def domain(host):
+        labels = host.split("@")[-1].split(":")[0].split(".")
+        double = ".".join(labels[-2:]) in url_filter.SUFFIXES
+        return ".".join(labels[-2:]) if double else labels[-1], ".".join(labels[-3:] if double else labels[-2:])
+
+    def summed(key):
+        out = {}
+        for h, (n, b) in seen.items():
+            a, c = out.get(key(h), (0, 0))
+            out[key(h)] = (a + n, c + b)
+        return out
+
+    suffixes, domains = summed(lambda h: domain(h)[0]), summed(domain)
+    ks, kd, kh = (_strength(u.values(), m) for u in (suffixes, domains, seen))
+    by = {r.host: r for r in out}
+    for h, (n, b) in seen.items():
+        s, d = suffixes[domain(h)[0]], domains[domain(h)]
+        prior = ((ks * m + s[1]) / (s[0] + ks) * kd + d[1]) / (d[0] + kd)
+        share = (prior * kh + b) / (n + kh)
+        bound = share - (share * (1 - share) / (n + kh + 1)) ** 0.5 * url_filter.DEVIATIONS
+        assert by[h].reputation == pytest.approx(share, abs=2e-6) and by[h].verdict == ("block" if bound >= 0.5 else "allow")
+    # shrinkage decides: a page alone on its host is bad each time, and so are most of x's
+    assert by["a.bad.org"].verdict == by["pills.shop.com"].verdict == "block" and by["lone.net"].verdict == "allow"
+
+
 def test_pipeline_on_a_small_folder(spark, tmp_path):
     import corpus_pipeline
 
