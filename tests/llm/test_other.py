@@ -232,3 +232,32 @@ def test_scratch_tables_are_cleared(spark):
     with pytest.raises(Exception, match="(?i)not exist|no such|not found"):
         one.count()
     scratch.clear(spark, start)
+
+
+def test_topk_reads_few_postings_and_stops_on_proof():
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 48)) ** 3
+    x = np.floor(1024 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    index = topk.ImpactIndex(np.arange(3000), x)
+    assert len(index.rows) == (np.abs(x) >> index.shift > 0).sum()
+    known = np.sort(x @ x[0])[-11]
+    for threshold in (float("-inf"), float(known)):
+        index.read = index.total = index.rescored = 0
+        for q in range(0, 3000, 100):
+            scores = x @ x[q]
+            best = sorted((-s, i) for i, s in enumerate(scores) if i != q and (q == 0 or threshold < 0))[:10]
+            ids, got = index.search(x[q], q, 10, threshold if q == 0 else float("-inf"))
+            if best:
+                assert [(-s, i) for i, s in zip(ids, got, strict=True)] == best
+        assert 0 < index.read < 0.5 * index.total
+        assert index.read + 48 * index.rescored < 0.7 * 30 * 3000 * 48
+    assert len(index.search(x[0], 0, 10, float(x[0] @ x[0] * 4))[0]) == 0
+
+
+def test_topk_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [3.0])]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()]
+    # the smaller vector of id 0 asks, and repeated rows are candidates each
+    assert got == [(0, 1, 2, 512 * 3072), (0, 2, 1, 512 * 1024), (0, 3, 1, 512 * 1024)]
