@@ -132,4 +132,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_license_scan": license_scan.ORACLE_SQL, "op4_substring_dedup": substring_dedup.ORACLE_SQL, "op5_topk": OP5_SQL, "op8_url_filter": _op8_sql(), "op10_exact_dedup": OP10_SQL}
+    return {"op2_license_scan": license_scan.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op4_substring_dedup": substring_dedup.ORACLE_SQL, "op5_topk": OP5_SQL, "op8_url_filter": _op8_sql(), "op10_exact_dedup": OP10_SQL}

@@ -59,7 +59,7 @@ def test_a_long_template_is_found_at_any_offset(spark):
 def test_schedule_keeps_the_weights(spark):
     rows = [(i, ["a", "b", None, "d"][0 if i % 3 else i % 4]) for i in range(4000)] + [(5, "a"), (None, "b")]
     docs = spark.createDataFrame([(i, s, 1) for i, s in rows], "doc_id long, source string, slot int")
-    out = mixing.scheduled(docs, block_rows=4, period=100).collect()
+    out = mixing.scheduled(docs, block_rows=4).collect()
     assert len(out) == len(rows)
     assert Counter(r.source for r in out) == Counter(s or "" for _, s in rows)
     blocks = {(r.source, r.block): r for r in out}
@@ -70,25 +70,12 @@ def test_schedule_keeps_the_weights(spark):
     assert mixing.scheduled(docs.limit(0)).count() == 0
 
 
-def test_pattern_deviates_by_less_than_a_block(spark):
-    rng = random.Random(1)
-    weights = spark.createDataFrame([(f"s{i}", float(rng.randrange(1, 50))) for i in range(11)], "source string, weight double")
-    units = {r.source: r.w for r in mixing.units(weights, period=200).collect()}
-    assert sum(units.values()) == 200 and min(units.values()) >= 1
-    slots = {o: r.source for r in mixing.pattern(mixing.units(weights, period=200), 200).collect() for o in r.offsets}
-    assert sorted(slots) == list(range(200))
-    seen = Counter()
-    for t in range(200):
-        seen[slots[t]] += 1
-        assert all(abs(seen[s] - w * (t + 1) / 200) < 1 for s, w in units.items())
-
-
 def test_mixed_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame([(i % 50, f"s{i % 3}" if i % 7 else None, i) for i in range(100)], "doc_id long, source string, at int")
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and sorted(r.at for r in out.collect()) == list(range(100))
     with pytest.raises(ValueError):
-        mixing.scheduled(docs, period=2)
+        mixing.scheduled(docs, spark.createDataFrame([("s0", 1.0)], "source string, weight double"))
 
 
 @pytest.mark.parametrize("scale", [1, 1e12])
