@@ -13,17 +13,24 @@ Equal sets are first merged into classes, so a large group of copies is one row
 from there on. In each band bucket, members are verified against a leader; only
 pairs that are still in different components are verified after that, so a group
 of near copies costs a few pairs for each member and still no link between
-different components is lost. Verification intersects the full sets.
+different components is lost. Members of large buckets that are left meet by
+prefix tokens, not by bucket: a pair that is similar enough shares one of the
+rarest shingles of each (as many as it may lack, and one). Where a token's
+members are mostly of one component, only the others are held against all.
+Verification intersects the full sets.
 
 Empty texts, null texts and texts without words have an empty set and link to
-nothing. Rows repeated with one doc_id get one component. Rows with a null
-doc_id link to nothing either: they are kept, with a null component_id, though
-their text may have copies. Other columns are ignored, whatever their names.
+nothing; very long texts are taken whole. Of rows that share a doc_id with
+different texts the text with the least hash is compared; all of them get its
+component. Rows with a null doc_id link to nothing: they are kept, with a null
+component_id, though their text may have copies. An empty table gives no rows;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,7 +96,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands = text.mix(bands ^ sketch[:, :, k], k + 1)
             digests = [hashlib.blake2b(elements[i:k].tobytes(), digest_size=16).digest() for i, k in zip(offsets, offsets[1:], strict=False)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (z - a) + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), batch.column(2).slice(a, z - a), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), lists], ["doc_id", "hash", "n_shingles", "digest", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,18 +114,22 @@ def _near(a: str | Column, b: str | Column, percent: int) -> Column:
 
 def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row; links are at least `percent` similar."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.written(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("hash"))
+    signed = scratch.written(docs.mapInArrow(_signatures, "doc_id long, hash long, n_shingles long, digest binary, bands array<long>"), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
-    buckets = full.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    mains = scratch.written(full.groupBy("doc_id").agg(F.min(F.struct("hash", "digest")).alias("m"), F.max("hash").alias("last"), F.count(F.lit(1)).alias("rows")).select("doc_id", "m.hash", "m.digest", "last", "rows"), "mains")
+    reps = mains.groupBy("digest").agg(F.min(F.struct("doc_id", "hash")).alias("r"), F.sum("rows").alias("rows")).select("digest", F.col("r.doc_id").alias("rep"), "r.hash", "rows")
+    classes = scratch.written(reps, "classes")
+    reps = classes.select("digest", "rep", "rows")
+    wanted = classes.select(F.col("rep").alias("doc_id"), "hash")
+    buckets = full.join(wanted, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = scratch.written(buckets.join(shared, "bucket"), "shared-buckets")
     degrees = buckets.groupBy("rep").agg(F.sum("members").alias("degree"))
     buckets = scratch.written(buckets.drop("members").join(degrees, "rep"), "buckets")
 
-    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.written(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "rep long, elements array<long>"), "sets")
+    wanted = wanted.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = scratch.written(docs.join(wanted.hint("merge"), ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_sets, "rep long, elements array<long>"), "sets")
     leaders = scratch.written(_leaders(buckets, percent), "leaders")
     tried = comps = pivots = None
     for step in ("first", "mixed", "rest"):
@@ -133,11 +144,12 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
         comps = extended(comps, found.where("linked").select("a", "b"))
 
     by_digest = reps.join(comps, F.col("rep") == F.col("node"), "left").select("digest", "rows", F.coalesce("component", "rep").alias("component"))
-    plain = ["doc_id", "n_shingles", "digest"]
-    rows = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select(plain)
-    out = join_counted(rows, by_digest, "digest", "rows", signed.count())
-    apart = signed.where("n_shingles = 0 OR doc_id IS NULL").select(*plain, F.col("doc_id").alias("component"))
-    out = out.select(*plain, "component").unionByName(apart)
+    by_digest = scratch.written(by_digest, "class-components")
+    # rows of a doc_id with several texts stand where its compared text does
+    several = scratch.written(mains.where("hash != last").select("doc_id", F.col("digest").alias("main")), "several")
+    rows = full.select("doc_id", "n_shingles", "digest").join(several, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("main", "digest").alias("digest"))
+    out = join_counted(rows, by_digest, "digest", "rows", signed.count()).select("doc_id", "n_shingles", "component")
+    out = out.unionByName(signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
     component = F.col("component")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -148,29 +160,48 @@ def _split(buckets: DataFrame) -> DataFrame:
     return buckets.join(split.select("bucket", "members"), "bucket")
 
 
-def _bounded(buckets: DataFrame, sets: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Members that may be similar to another, with what bounds their intersections.
+def _bounded(buckets: DataFrame, sets: DataFrame, pivots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members that may be similar to another, with what bounds their intersections; and the frequencies of their shingles.
 
-    shared: shingles that some other member has too. pivot, inside: a document
-    that the member was compared with, and the shared shingles inside that
-    document; the other shared shingles lie outside of it. A pivot's own shared
-    shingles are all inside. buckets: where the member is, a few dozen at most.
+    shared: shingles that some other member has too; own: those that none has.
+    pivot, inside: a document that the member was compared with, and the shared
+    shingles inside that document; the other shared shingles lie outside of it.
+    A pivot's own shared shingles are all inside.
     """
-    reps = buckets.groupBy("rep", "n", "component").agg(F.collect_list("bucket").alias("buckets")).join(pivots, "rep", "left")
+    reps = buckets.groupBy("rep", "n", "component").agg(F.count(F.lit(1)).alias("_")).drop("_").join(pivots, "rep", "left")
     counted = reps.select("rep").unionByName(reps.where("pivot IS NOT NULL").select(F.col("pivot").alias("rep"))).distinct()
-    single = sets.join(counted, "rep").select("rep", F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).where("c = 1")
-    alone = single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-    shared = F.col("n") - F.coalesce("own", F.lit(0))
-    able = reps.join(alone, "rep", "left").withColumn("shared", shared).where(F.col("shared") * 100 >= F.col("n") * percent)
-    able = able.select("rep", "n", "component", "buckets", "shared", F.coalesce("pivot", "rep").alias("pivot"), F.coalesce("common", "shared").alias("inside"))
-    return _split(able.select("*", F.explode("buckets").alias("bucket")))
+    counts = scratch.written(sets.join(counted, "rep").select("rep", F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")), "shingle-counts")
+    alone = counts.where("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    able = reps.join(alone, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("shared", F.col("n") - F.col("own")).where(F.col("shared") * 100 >= F.col("n") * percent)
+    able = able.select("rep", "n", "component", "own", "shared", F.coalesce("pivot", "rep").alias("pivot"), F.coalesce("common", "shared").alias("inside"))
+    return able, counts.where("c > 1").select("e", "c")
 
 
-def _cross(buckets: DataFrame, able: Column) -> DataFrame:
-    """Pairs in a bucket and different components for which able (over columns numbered 1 and 2) holds."""
-    left, right = (buckets.select("bucket", *(F.col(c).alias(f"{c}{k}") for c in buckets.columns if c != "bucket")) for k in (1, 2))
-    met = left.join(right, "bucket").where((F.col("rep1") < F.col("rep2")) & (F.col("component1") != F.col("component2")) & able)
-    return met.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
+def _tokens(able: DataFrame, sets: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """able with a row for each prefix token: the rarest shingles, one more than a member may lack."""
+    each = sets.join(able.select("rep"), "rep").select("rep", F.explode("elements").alias("e")).join(counts, "e")
+    ranked = each.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("all"))
+    # the shingles that no other has come first and meet nobody
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("own")
+    rows = able.join(ranked, "rep").where(most > 0).withColumn("all", F.slice("all", F.lit(1), most.cast("int")))
+    return rows.select("rep", "n", "component", "shared", "pivot", "inside", F.explode(F.transform("all", lambda x: x["e"])).alias("key"))
+
+
+def _cross(members: DataFrame, able: Column, percent: int) -> DataFrame:
+    """Pairs a < b of members that share a key, of like size and in different components, for which able (over columns numbered 1 and 2) holds.
+
+    The members of a key's most frequent component are not held against each
+    other: one side has only those of other components. Sizes are joined by class.
+    """
+    width = math.log(max(100 / percent, 1.01)) * 1.0001
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", F.col("top.component").alias("main"))
+    rows = members.join(main, "key").withColumn("size", F.floor(F.log("n") / width).cast("int"))
+    names = [c for c in members.columns if c != "key"]
+    left = rows.select("key", "size", (F.col("component") == F.col("main")).alias("of_main"), *(F.col(c).alias(f"{c}1") for c in names))
+    right = rows.where("component != main").select("key", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"), *(F.col(c).alias(f"{c}2") for c in names))
+    met = left.join(right, ["key", "size"]).where((F.col("of_main") | (F.col("rep1") < F.col("rep2"))) & (F.col("component1") != F.col("component2")) & able)
+    return met.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -201,22 +232,22 @@ def _pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame, pivots: DataFr
     """Candidate pairs a < b that the step verifies.
 
     mixed: members with leaders of another order, where components still differ;
-    rest: all pairs of a bucket that are in different components; in large
-    buckets, those of them that can still be similar by what is known of their
-    intersections with the rest and with their pivots.
+    rest: pairs in different components that meet in a small bucket; of members
+    of large buckets, those that share a prefix token and can still be similar by
+    what is known of their intersections with the rest and with their pivots.
     """
     comps = comps.withColumnsRenamed({"node": "rep"})
     buckets = _split(buckets.drop("degree").join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     if step == "mixed":
         return _ordered(_met(buckets, F.xxhash64("rep"), percent))
     buckets = scratch.written(buckets, "split-buckets")
-    small = _cross(buckets.where(F.col("members") <= SMALL_BUCKET), _near(F.col("n1"), F.col("n2"), percent))
-    large = scratch.written(_bounded(buckets.where(F.col("members") > SMALL_BUCKET), sets, pivots, percent), "large-buckets")
+    near = _near(F.col("n1"), F.col("n2"), percent)
+    small = _cross(buckets.where(F.col("members") <= SMALL_BUCKET).select("rep", "n", "component", F.col("bucket").alias("key")), near, percent)
+    able, counts = _bounded(buckets.where(F.col("members") > SMALL_BUCKET), sets, pivots, percent)
+    able = scratch.written(able, "large-buckets")
     outside = F.least(F.col("shared1") - F.col("inside1"), F.col("shared2") - F.col("inside2"))
     most = F.least("shared1", "shared2", F.when(F.col("pivot1") == F.col("pivot2"), F.least("inside1", "inside2") + outside))
-    # a pair that meets in several buckets is listed in the least of them only
-    once = F.array_min(F.array_intersect("buckets1", "buckets2")) == F.col("bucket")
-    large = _cross(large, (most * 100 >= (F.col("n1") + F.col("n2") - most) * percent) & once)
+    large = _cross(_tokens(able, sets, counts, percent), near & (most * 100 >= (F.col("n1") + F.col("n2") - most) * percent), percent)
     return small.unionByName(large).distinct()
 
 

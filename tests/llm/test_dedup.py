@@ -113,6 +113,51 @@ def test_near_groups_against_brute_force(spark):
     assert near_dedup.near_groups(spark.createDataFrame([(None, "a b"), (1, None), (2, "a b"), (2, "a b")], "doc_id long, text string")).count() == 4
 
 
+def test_near_groups_of_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (3, c), (4, a + " end"), (5, b + " end"), (6, None), (None, a), (3, c)]
+    out = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.doc_id, set()).add(r.component_id)
+    assert len(out) == len(rows) and all(len(x) == 1 for x in got.values())
+    # one of the texts of id 1 is compared: it joins 4, or 2 and 5
+    assert got[3] == {3} and got[2] == got[5] and got[6] == {6} and got[None] == {None}
+    assert (got[1] == got[4]) != (got[1] == got[2])
+
+
+@pytest.mark.parametrize("kind", ["template", "chain"])
+def test_near_groups_in_large_buckets(spark, kind):
+    rng = random.Random(3)
+    base = [f"t{k}" for k in range(200)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        if kind == "template":  # most share too little with each other, a few a lot
+            own = i // 2 if i < 20 else i
+            words[: 30 + (i % 3)] = [f"o{own}x{k}" for k in range(30 + (i % 3))]
+        else:
+            words = [f"t{k}" for k in range(i * 4, i * 4 + 200)]
+        rows.append((i, " ".join(words)))
+    rng.shuffle(rows)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    label = {i: i for i in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if 100 * n >= 75 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                label[y] = x
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in sets}
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)
