@@ -9,7 +9,8 @@ and the pairs that this makes are added to the lists of their ranks.
 The vocabulary is a tokenizers file of kind BPE with NFC, white space and lower
 case normalisers and byte-level symbols with an end-of-word suffix; its path is
 a parameter and is opened where tasks run. Null texts count as empty; an empty
-text has no ids. Repeated rows are encoded each; nothing is truncated.
+text has no ids; very long texts are encoded whole. Repeated rows and rows without an
+id are encoded each; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

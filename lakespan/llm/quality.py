@@ -8,7 +8,9 @@ the intercept and the table entries of a document's bins, so scoring is a few
 vectorised additions.
 
 Null and empty texts have the features of no words and get a score like any
-other. Labels, language, source and ids are never inputs. With no labelled rows
+other; very long texts are read whole. Repeated rows and rows without an id are
+scored (or kept) each; an empty table gives no rows; other columns, whatever
+their names, are no inputs, and kept() returns them. Labels, language, source and ids are never inputs. With no labelled rows
 the score is 0.5; with labels of one class it is near that class.
 """
 

@@ -10,10 +10,16 @@ highest window, calibrated on documents.
 Labels are of documents, so fitting alternates between choosing each toxic
 document's strongest windows and training on them, against random and strongest
 windows of clean documents. All of it is numpy, on the driver, over at most
-FIT_PER_CLASS labelled documents of each label.
-
-Null and empty texts have one window of no words. Labels, language, source and
-ids are never inputs. Without labelled rows of both labels every score is 0.
+FIT_PER_CLASS labelled documents of each label of at most FIT_BYTES bytes each
+(longer ones are scored like any, but not fitted on), so the driver holds a
+bounded number of bytes. The word and n-gram vectors start from the smoothed log
+odds of each unit's presence in toxic documents and are trained from there.
+
+Null and empty texts have one window of no words; very long texts have as many
+windows as they need. Repeated rows and rows without an id are scored each; an
+empty table gives no rows; other columns, whatever their names, are ignored.
+Labels, language, source and ids are never inputs. Without labelled rows of both
+labels every score is 0.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql import functions as F
 from . import text
 from .sample import held_out, labelled
 
-FIT_PER_CLASS = 1500
+FIT_PER_CLASS, FIT_BYTES = 1500, 1 << 16
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, GRAMS = 32, 16, 8, 8, 8, 1 << 14
 THRESHOLD = 0.5
 _EDGES = ".,;:!?#$%&*|\"'()[]{}<>=+-_~^`@/\\"
@@ -325,7 +331,7 @@ def _calibrate(m: Model, z: np.ndarray, y: np.ndarray) -> None:
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = FIT_PER_CLASS) -> Model:
-    rows = sorted((r.doc_id, r.text or "", r.y) for r in labelled(docs, labels, label, per_class).collect())
+    rows = sorted((r.doc_id, r.text, r.y) for r in labelled(docs, labels, label, per_class, FIT_BYTES).collect())
     return fit([x for _, x, _ in rows], np.array([y for _, _, y in rows], int))
 
 

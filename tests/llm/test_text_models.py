@@ -111,6 +111,67 @@ def test_toxicity_learns_words_and_prefixes():
     assert toxicity.fit(["a"], np.array([0])).score(pa.array(["a", ""])).tolist() == [0, 0]
 
 
+def _rows_of_models(spark, label):
+    rng = np.random.default_rng(6)
+    bad = [f"vexu{k}" for k in range(30)]
+    rows = []
+    for i in range(240):
+        words = [f"w{k}" for k in rng.integers(0, 200, rng.integers(5, 120))]
+        if i % 3 == 0:
+            words[0:0] = list(rng.choice(bad, 3))
+        text_ = " ".join(words) if label == "toxic" or i % 3 else " | ".join(w + "###" for w in words)
+        rows.append((i, text_, int((i % 3 == 0) == (label == "toxic"))))
+    rows += [(None, None, 1), (500, "", 0), (501, " \t", 0), (502, "é" * 30_000 + " w1" * 30_000, 0), (7, rows[7][1], rows[7][2]), (8, "another text w9", 0)]
+    both = spark.createDataFrame([(*r, "z", 0.5) for r in rows], f"doc_id long, text string, {label} int, y string, score double")
+    return rows, both.select("doc_id", "text", "y", "score"), both.select("doc_id", label)
+
+
+def test_toxicity_on_rows_against_window_by_window(spark):
+    rows, docs, labels = _rows_of_models(spark, "toxic")
+    model = toxicity.trained(docs, labels)
+    out = toxicity.scored(docs, model).collect()
+    assert len(out) == len(rows) and all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in out)
+    # each window alone, with the same model
+    score = {(r.doc_id, round(r.score, 6)) for r in out}
+    for i, t, _ in [rows[0], rows[1], rows[-4], rows[-6]]:
+        words = [w.decode() for w in (t or "").encode().split()]
+        starts = sorted({*range(0, max(1, len(words) - toxicity.WINDOW + 1), toxicity.STRIDE), max(0, len(words) - toxicity.WINDOW)})
+        best = max(model.document_logits(pa.array([" ".join(words[s : s + toxicity.WINDOW])], pa.large_string()))[0][0] for s in starts)
+        assert (i, round(float(1 / (1 + np.exp(-np.clip(model.slope * float(best) + model.shift, -30, 30)))), 6)) in {(a, b) for a, b in score} | {(a, round(b + d, 6)) for a, b in score for d in (1e-6, -1e-6)}
+    assert toxicity.scored(docs.limit(0), toxicity.trained(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_sample_is_one_bounded_row_an_id(spark):
+    from lakespan.llm.sample import held_out, labelled
+
+    _, docs, labels = _rows_of_models(spark, "toxic")
+    got = labelled(docs, labels, "toxic", 40, 2000).collect()
+    assert len(got) == len({r.doc_id for r in got}) <= 80 and all(len(r.text.encode()) <= 2000 for r in got)
+    held = {r.doc_id for r in docs.where(held_out()).collect()}
+    assert held and not held & {r.doc_id for r in got}
+
+
+def test_quality_on_rows_against_table_by_table(spark):
+    rows, docs, labels = _rows_of_models(spark, "quality")
+    model = quality.trained(docs, labels)
+    out = quality.scored(docs, model).collect()
+    assert len(out) == len(rows)
+    texts = {}
+    for i, t, _ in rows:
+        texts.setdefault(i, []).append(t or "")
+    for r in out:
+        able = []
+        for t in texts[r.doc_id]:
+            x = quality.features(pa.array([t], pa.large_string()))[0]
+            bins = [sum(v >= e for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+            z = model.intercept + sum(table[b] for table, b in zip(model.tables, bins, strict=True))
+            z += sum(table[bins[i] // model.coarse, bins[j] // model.coarse] for i, j, table in model.pairs)
+            able.append(1 / (1 + np.exp(-min(max(z, -30), 30))))
+        assert min(abs(r.score - a) for a in able) < 1e-9
+    kept = quality.kept(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in out)
+
+
 def test_toxicity_gradient():
     rng = np.random.default_rng(0)
     m = toxicity.Model(toxicity._start(rng, 4), {})
