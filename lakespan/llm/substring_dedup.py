@@ -49,7 +49,7 @@ from . import text
 
 WINDOW = 20
 #: Text bytes whose windows are gathered before they are sent, documents for each hash bucket, text bytes and number of shares.
-SLICE_BYTES, BUCKET_DOCS, SHARE_BYTES, MOST_SHARES = 4 << 20, 1500, 8 << 20, 100_000
+SLICE_BYTES, BUCKET_DOCS, SHARE_BYTES, MOST_SHARES = 4 << 20, 1500, 2 << 20, 100_000
 _NO_ID = (1 << 63) - 1
 _RIGHT, _LEFT = 1, 2
 
@@ -362,7 +362,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False
         raise ValueError("a window has two words at least")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    buckets, shares = max(64, rows // BUCKET_DOCS), max(16, min(MOST_SHARES, size // SHARE_BYTES))
+    buckets, shares = max(64, rows // BUCKET_DOCS), max(64, min(MOST_SHARES, size // SHARE_BYTES))
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     places = repeated_places(keyed.select("row", "text"), window, buckets, shares)
     out = "doc_id long, n_words long, n_removed long, kept string"
