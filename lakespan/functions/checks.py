@@ -97,11 +97,18 @@ def labelled_date(text: Column) -> Column:
     return F.coalesce(month.between(1, 12) & day.between(1, 31), F.lit(True))
 
 
-def zip_state(code: Column) -> Column:
-    """State of a ZIP code: the five-digit exception, else its three-digit prefix; null if unknown."""
-    prefix = number(code, 1, 3)
-    ranges = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(z).alias("z"), F.lit(name).alias("name")) for a, z, name in fixed.ZIP_RANGES))
-    by_prefix = F.try_element_at(F.filter(ranges, lambda r: prefix.between(r["a"], r["z"])), F.lit(1))["name"]
-    exceptions = F.create_map(*(F.lit(x) for pair in fixed.ZIP_OVERRIDES.items() for x in pair))
-    state = F.coalesce(F.try_element_at(exceptions, code), by_prefix)
+def zip_prefixes() -> dict[str, str]:
+    """State of each three-digit prefix, as the postal service deals them out: in ranges."""
+    return {f"{k:03}": state for first, last, state in fixed.ZIP_RANGES for k in range(first, last + 1)}
+
+
+def zip_state(code: Column, own: dict[str, str] | None = None) -> Column:
+    """State of a ZIP code: of the user's own table, else the five-digit exception, else its three-digit prefix; null if unknown.
+
+    Each table is a map that is looked up once a row.
+    """
+    lookup = lambda table, key: F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+    state = F.coalesce(lookup(fixed.ZIP_OVERRIDES, code), lookup(zip_prefixes(), F.left(code, F.lit(3))))
+    if own:
+        state = F.coalesce(lookup(own, code), state)
     return F.when(F.length(code) >= 3, state)

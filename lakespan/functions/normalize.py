@@ -1,7 +1,8 @@
-"""Text normalisers. Length-preserving ones are native; NFKC and the diacritic fold are Arrow UDFs behind an ASCII test."""
+"""Text normalisers. All are native but NFKC, whose Arrow function gets null for texts that are plain ASCII."""
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -19,23 +20,57 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-def _fold(t: str) -> str:
-    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
+def _clusters(t: str) -> tuple[str, list[int]]:
+    """NFKC of a text, cluster by cluster (a character and the marks behind it), and the place that each character is from."""
+    out, places, i = [], [], 0
+    while i < len(t):
+        j = i + 1
+        while j < len(t) and unicodedata.combining(t[j]):
+            j += 1
+        part = unicodedata.normalize("NFKC", t[i:j])
+        out.append(part)
+        places += [i] * len(part) if len(part) != j - i else range(i, j)
+        i = j
+    return "".join(out), places
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("places", T.ArrayType(T.IntegerType()))]))
+def _nfkc_mapped(s: pd.Series) -> pd.DataFrame:
+    """Null for null and for texts that NFKC leaves as they are."""
+    rows = [(None, None) if t is None or unicodedata.is_normalized("NFKC", t) else _clusters(t) for t in s]
+    return pd.DataFrame(rows, columns=["text", "places"])
+
+
+@functools.cache
+def _folding() -> tuple[str, str, str]:
+    """(characters, what they fold to, characters that vanish): canonical decomposition without marks, from the Unicode data."""
+    kept, folded, gone = [], [], []
+    for code in range(0x80, 0x30000):
+        c = chr(code)
+        if unicodedata.category(c) == "Mn":
+            gone.append(c)
+        elif unicodedata.decomposition(c) and not unicodedata.decomposition(c).startswith("<"):
+            base = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"))
+            if base != c and len(base) == 1:
+                kept.append(c)
+                folded.append(base)
+    return "".join(kept), "".join(folded), "".join(gone)
 
 
-@F.pandas_udf(T.StringType())
-def _folded(s: pd.Series) -> pd.Series:
-    return s.map(_fold, na_action="ignore")
+def _fold(t: str) -> str:
+    kept, folded, gone = _folding()
+    return t.translate(str.maketrans(kept, folded, gone))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _fold_map(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: [i for i, c in enumerate(t) for _ in _fold(c)], na_action="ignore")
+def normalized(text: Column) -> Column:
+    """Compatibility composition; of plain ASCII texts the Python side sees nulls."""
+    plain = text.rlike(_ASCII)
+    return F.when(plain, text).otherwise(_nfkc(F.when(~plain, text)))
 
 
-def normalized(text: Column) -> Column:
-    """Compatibility composition; plain ASCII never leaves the JVM."""
-    return F.when(text.rlike(_ASCII), text).otherwise(_nfkc(text))
+def mapped(text: Column) -> Column:
+    """struct(text, places) of NFKC: the original place of each character; null where the text stays as it is."""
+    return _nfkc_mapped(F.when(~text.rlike(_ASCII), text))
 
 
 def for_search(text: Column, case_sensitive: bool = False) -> Column:
@@ -58,13 +93,17 @@ def separator_map(text: Column) -> Column:
 
 
 def fold_diacritics(text: Column) -> Column:
-    return F.when(text.rlike(_ASCII), text).otherwise(_folded(text))
+    """Letters without their diacritics, one character for one; free-standing marks vanish."""
+    kept, folded, gone = _folding()
+    return F.when(text.rlike(_ASCII), text).otherwise(F.translate(text, kept + gone, folded))
 
 
 def fold_map(text: Column) -> Column:
     """The original place of each character of fold_diacritics."""
     plain = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.when(text.rlike(_ASCII), plain).otherwise(_fold_map(text))
+    marks = r"\p{Mn}"
+    kept = F.filter(F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: (x["c"] != "") & ~x["c"].rlike(marks))
+    return F.when(~text.rlike(marks), plain).otherwise(F.transform(kept, lambda x: x["i"]))
 
 
 def compose_maps(outer: Column, inner: Column) -> Column:
@@ -100,11 +139,28 @@ def confusions_repaired(line: Column) -> Column:
 
     words = F.regexp_extract_all(line, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     gaps = F.split(line, r"[\p{L}\p{N}]+", -1)
-    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(repaired(F.get(words, i)), F.lit(""))))
+    pieces = F.transform(F.arrays_zip(gaps.alias("g"), words.alias("w")), lambda x: F.concat(x["g"], F.coalesce(repaired(x["w"]), F.lit(""))))
     # without a digit no token has a digit majority, and letters stay as they are
     return F.when(line.rlike("[0-9]"), F.array_join(pieces, "")).otherwise(line)
 
 
+def shadow(text: Column) -> Column:
+    """A text of the same length in which names in capitals or glued to labels read as words.
+
+    : ; , and / become spaces; in words in capitals, but for known acronyms, each
+    run of letters keeps its first capital only. White space stays as it is.
+    """
+    spaced = F.translate(text, ":;,/", "    ")
+    bare = lambda w: F.regexp_replace(w, r"^\p{P}+|\p{P}+$", "")
+    shouted = lambda w: (F.length(w) >= 2) & (w == F.upper(w)) & w.rlike(r"\p{L}") & ~bare(w).isin(*fixed.ACRONYMS)
+    words = F.regexp_extract_all(spaced, F.lit(r"\S+"), F.lit(0))
+    gaps = F.split(spaced, r"\S+", -1)
+    # initcap lowers all but the first letter after a space; letter runs are parted by a mark for that
+    runs = lambda w: F.replace(F.initcap(F.regexp_replace(w, r"(?<=\P{L})(?=\p{L})", "\x01 ")), F.lit("\x01 "), F.lit(""))
+    cased = lambda w: F.when(shouted(w) & (F.length(runs(w)) == F.length(w)), runs(w)).otherwise(w)
+    return F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), words.alias("w")), lambda x: F.concat(x["g"], F.coalesce(cased(x["w"]), F.lit("")))), "")
+
+
 def title_case(text: Column) -> Column:
     """Words in capitals get title case, but for known acronyms; single spaces part words."""
     bare = lambda w: F.regexp_replace(w, r"^\p{P}+|\p{P}+$", "")

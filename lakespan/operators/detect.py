@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks, fixed
-from ..functions.spans import contains_any, first, last, spans, tokens
+from ..functions.spans import contains_any, cut, first, last, pieces_of, spans, tokens
 
 SIDE = 200
 CATEGORIES = list(fixed.RANKS)
@@ -86,7 +86,7 @@ def candidates(texts: DataFrame, categories: list[str] | None = None, doctype: s
         left = F.greatest(start - SIDE, F.lit(0))
         return F.struct(
             s["category"].alias("category"), s["rule"].alias("rule"), start.alias("start"), size.alias("len"), s["matched"].alias("matched"),
-            F.substring(text, left + 1, start - left).alias("before"), F.substring(text, start + size + 1, F.lit(SIDE)).alias("after"),
+            cut(F.col("pieces"), left, start - left).alias("before"), cut(F.col("pieces"), start + size, F.lit(SIDE)).alias("after"),
         )
 
     radius = _by_category({c: F.lit(p[2]) for c, p in fixed.PROFILES.items() if c in wanted}, F.lit(5), lambda s: s["category"])
@@ -100,8 +100,10 @@ def candidates(texts: DataFrame, categories: list[str] | None = None, doctype: s
         return F.struct(*(s[c].alias(c) for c in ("category", "rule", "start", "len", "matched", "before", "after")), words.alias("window"), near.alias("near"), dated.alias("dated"))
 
     valid = _valid(wanted)
-    kept = F.filter(F.transform(every, sides), valid)
-    return texts.select(*carried, F.inline(F.transform(kept, context)))
+    rows = texts.select(*carried, "text", F.filter(every, valid).alias("spans"))
+    # the sides of a span are cut from pieces, so that they cost the same wherever in a long text it stands
+    rows = rows.select(*carried, "spans", F.when(F.size("spans") > 0, pieces_of(text)).alias("pieces"))
+    return rows.select(*carried, F.inline(F.transform(F.transform("spans", sides), context)))
 
 
 def window(before: Column, after: Column, n: Column | int) -> Column:

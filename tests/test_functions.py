@@ -1,5 +1,6 @@
 """Checks, normalisers, similarity and search rules on invented vectors."""
 
+import time
 import unicodedata
 
 import pytest
@@ -94,3 +95,43 @@ def test_one_scan_feeds_all_detectors(spark):
     plan = detect.detected(texts)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Python" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+@pytest.mark.parametrize("pattern", [r"(.*,){11}P", "(a*){30}b", "(a?){30}a{30}", r"\d+\d+\d+\d+\d+z", "(a|b)*c", ".*.*.*.*x", "([a-z]+ ?){2}", "((ab)+c){5}", "x{2000}", "(a+)+"])
+def test_heavy_patterns_are_refused(pattern):
+    assert search.unsafe(pattern)
+
+
+@pytest.mark.parametrize("pattern", [r"\p{Lu}\w+", r"[0-9]{4}-[0-9]{3,7}", r"(?:\d{3}-)?\d{3}-\d{4}", r"\d+-\d+-\d+-\d+-\d+", "(ab){2,3}", r"[^\]x]+y", r"(?i)total:\s*\$?\d+", r"(?<![0-9])\d{9}(?![0-9])"])
+def test_plain_patterns_pass(pattern):
+    assert search.unsafe(pattern) is None and not search.slow(pattern)
+
+
+def test_sentinel_breaks_slow_patterns_off():
+    assert search.slow("(a?){30}a{30}", 0.5) and len(search.sentinel()) == 10_240
+
+
+def test_zip_prefixes_and_own_table(spark):
+    prefixes = checks.zip_prefixes()
+    assert prefixes["100"] == "NY" and prefixes["941"] == "CA" and len(prefixes) > 800
+    row = spark.createDataFrame([("94105", "00000", "12")], "a string, b string, c string").select(
+        checks.zip_state(F.col("a")), checks.zip_state(F.col("a"), {"94105": "XX"}), checks.zip_state(F.col("b")), checks.zip_state(F.col("c"))
+    ).first()
+    assert tuple(row) == ("CA", "XX", None, None)
+
+
+def test_shadow_keeps_length_and_parts_words(spark):
+    rows = ["INDN:DELIA MARY-JANE O'BRIEN, IRS/ATM\nplain Text", "", "É\tÉCOLE a", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in rows], "t string").select(normalize.shadow(F.col("t"))).collect()]
+    assert got == ["Indn Delia Mary-Jane O'Brien  IRS Atm\nplain Text", "", "É\tÉcole a", None]
+
+
+def test_many_hits_in_one_text(spark):
+    from lakespan.operators import search as s
+
+    texts = spark.range(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("ab, fox 1 "), 100_000).alias("text"))
+    began = time.time()
+    row = s.literal(texts, "fox").agg(F.count(F.lit(1)).alias("n"), F.max("start").alias("last"), F.count_if(F.col("matched") == "fox").alias("good")).first()
+    assert (row.n, row.last, row.good) == (100_000, 999_994, 100_000)
+    # linear: a fold that copies its result at each hit would take minutes
+    assert time.time() - began < 60

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakespan.operators import detect, doctype, entities, overlap, redact, report, scoring, search, terms
-from lakespan.sources import sinks, tables
+from lakespan.sources import scratch, sinks, tables
 from lakespan.streaming import live
 
 
@@ -65,8 +65,8 @@ def test_redaction_round(spark):
     assert rows[1].text == "call " + redact.BLOCK * 11 + " now" and (rows[1].excluded, rows[1].surviving) == (11, 9)
     assert rows[2].text == "clean" and rows[3].text == ""
     assert {r.doc_id: r.text for r in redact.redacted(texts, found, halo=1).collect()}[1] == "call" + redact.BLOCK * 13 + "now"
-    kept = sinks.written(out, "test-redacted")
-    layers = redact.layers(texts, found, kept, sinks.written(redact.digest(texts, kept), "test-digest"), ["clean", "ab"])
+    kept = scratch.written(out, "test-redacted")
+    layers = redact.layers(texts, found, kept, scratch.written(redact.digest(texts, kept), "test-digest"), ["clean", "ab"])
     assert {r.doc_id: r.status for r in redact.verdict(layers).collect()} == {1: "pass", 2: "attention", 3: "pass"}
     wrong = kept.withColumn("text", F.replace("text", F.lit(redact.BLOCK), F.lit("x")))
     assert {r.doc_id: r.status for r in redact.verdict(redact.layers(texts, found, wrong, redact.digest(texts, kept), [])).collect()}[1] == "fail"
@@ -147,3 +147,15 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got == want
     sessions = live.drained(live.sessions(spark.readStream.schema(events.schema).parquet(str(tmp_path / "events")), "10 minutes", "3650 days"), "t_sessions", "complete")
     assert sessions.agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_search_finds_composed_forms_and_cuts_the_original(spark):
+    texts = spark.createDataFrame([(1, "the \ufb01le is \u201cquoted\u201d cafe\u0301 \u00bd"), (2, "plain file"), (3, "of\ufb01ce-42 ofice")], "doc_id long, text string")
+    hits = lambda term, **o: sorted((r.doc_id, r.start, r.len, r.matched) for r in search.literal(texts, term, search.Options(**o)).collect())
+    assert hits("file") == [(1, 4, 3, "\ufb01le"), (2, 6, 4, "file")]
+    assert hits("file", normalize_unicode=False) == [(2, 6, 4, "file")]
+    assert hits('"quoted"', smart_punctuation=True) == [(1, 11, 8, "\u201cquoted\u201d")]
+    assert hits("cafe", fold_diacritics=True) == [(1, 20, 5, "cafe\u0301")] and hits("caf\u00e9") == [(1, 20, 5, "cafe\u0301")]
+    assert hits("fice42", strip_separators=True) == [(3, 2, 6, "\ufb01ce-42")]
+    assert hits("fi", exact_match=True) == [] and hits("ofice", exact_match=True) == [(3, 9, 5, "ofice")]
+    assert len(search.multi(texts, ["file", "ofice"]).collect()) == 3
