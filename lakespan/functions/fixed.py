@@ -253,10 +253,11 @@ SEPARATORS = "- ./,"
 
 #: Catalogue names of rules.
 CATALOGUE = {
-    "ssn.regex": "pii.ssn.state_machine.v1", "cc.luhn": "pii.cc.luhn.v1", "dea.letter-check": "pii.dea.checksum.v1", "npi.80840": "pii.npi.luhn.v1",
-    "licensePlate.labeled": "pii.lp.v1", "mrn.labeled": "pii.mrn.labeled.v1", "mrn.patientID": "pii.mrn.patient_id.v1", "mrn.institution": "pii.mrn.institution.v1",
-    "account.regex": "pii.account.v1", "routingNumber.aba-checksum": "pii.routing_number.v1", "phone.regex": "pii.phone.v1", "email.regex": "pii.email.v1",
-    "itin.yy-bucket": "pii.itin.v1", "passport.regex": "pii.passport.v1", "dl.regex": "pii.dl.v1",
+    "ssn.state-machine": "pii.ssn.state_machine.v1", "ssn.regex": "pii.ssn.state_machine.v1", "cc.luhn": "pii.cc.luhn.v1", "dea.letter-check": "pii.dea.checksum.v1", "npi.80840": "pii.npi.luhn.v1",
+    "name.nltagger": "pii.name.nltagger.v1", "licensePlate.labeled": "pii.lp.v1", "mrn.labeled": "pii.mrn.labeled.v1", "mrn.patientID": "pii.mrn.patient_id.v1",
+    "mrn.institution": "pii.mrn.institution.v1", "mrn.regex": "pii.mrn.labeled.v1", "account.regex": "pii.account.v1", "routingNumber.aba-checksum": "pii.routing_number.v1",
+    "barcode.vision": "pii.barcode.vision.v1", "signature.heuristic": "pii.signature.heuristic.v1", "phone.regex": "pii.phone.v1", "email.regex": "pii.email.v1", "ein.regex": "pii.ein.v1",
+    "itin.regex": "pii.itin.v1", "itin.yy-bucket": "pii.itin.v1", "dob.regex": "pii.dob.v1", "passport.regex": "pii.passport.v1", "dl.regex": "pii.dl.v1", "address.regex": "pii.address.v1",
 }
 
 #: Names and codes of states.

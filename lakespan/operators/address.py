@@ -25,11 +25,19 @@ def state_of(line: Column) -> Column:
     return F.coalesce(named, F.when(code != "", code))
 
 
-def assembled(texts: DataFrame) -> DataFrame:
+def city_of(line: Column) -> Column:
+    """The words before the state or the ZIP code of a line, lower case; null without any."""
+    before = F.regexp_replace(F.regexp_replace(line, r"\b\d{5}(?:-\d{4})?\b.*$", ""), rf"[\s,]*\b(?:{'|'.join([*fixed.STATES.values(), *fixed.MORE_STATES])})\b[\s,]*$", "")
+    city = F.trim(F.lower(F.regexp_extract(before, r"([\p{L}][\p{L} .'-]*)[\s,]*$", 1)))
+    return F.when(city != "", city)
+
+
+def assembled(texts: DataFrame, cities: DataFrame | None = None) -> DataFrame:
     """doc_id, line, text, zip, state, confidence of addresses around a ZIP code.
 
     A state that contradicts the ZIP code drops the address; without a state and
-    a street line there is none.
+    a street line there is none. With a table of cities(word), a line whose city
+    is not among them counts 0.20 less, 0.30 at least.
     """
     lines = texts.where(F.col("text").rlike(r"\d{5}")).select("doc_id", F.split("text", "\n").alias("lines"))
     around = F.transform("lines", lambda t, i: F.struct(i.alias("line"), t.alias("hit"), F.slice("lines", F.greatest(i - BACK, F.lit(0)) + 1, F.least(i, F.lit(BACK)) + 1).alias("block")))
@@ -38,7 +46,12 @@ def assembled(texts: DataFrame) -> DataFrame:
     rows = rows.withColumn("state", F.get(found, F.lit(0))).withColumn("by_zip", checks.zip_state(F.col("zip"))).withColumn("street", F.exists("block", lambda t: t.rlike(fixed.STREET_LINE)))
     rows = rows.where((F.col("street") | F.col("state").isNotNull()) & ~F.coalesce(F.col("state") != F.col("by_zip"), F.lit(False)))
     score = F.when(F.col("street") & F.col("state").isNotNull(), 0.80).when(F.col("state").isNotNull(), 0.65).otherwise(0.55)
-    return rows.select("doc_id", "line", F.array_join("block", ", ").alias("text"), "zip", "state", score.alias("confidence"))
+    rows = rows.withColumn("score", score)
+    if cities is not None:
+        known = cities.select(F.lower("word").alias("city"), F.lit(True).alias("known")).distinct()
+        rows = rows.withColumn("city", city_of(F.col("hit"))).join(known, "city", "left")
+        rows = rows.withColumn("score", F.when(F.col("city").isNotNull() & F.col("known").isNull(), F.greatest(F.lit(0.30), F.col("score") - 0.20)).otherwise(F.col("score")))
+    return rows.select("doc_id", "line", F.array_join("block", ", ").alias("text"), "zip", "state", F.col("score").alias("confidence"))
 
 
 def institution(text: Column, known: dict[str, str]) -> tuple[Column, Column]:

@@ -44,6 +44,13 @@ def log_probabilities(column: str = "probabilities") -> Column:
     return F.transform(column, lambda p: F.when(p > 0, F.ln(p)).otherwise(-30.0))
 
 
+def explained(classes: DataFrame, classes_shown: int = 3, keywords_shown: int = 5) -> DataFrame:
+    """Adds top (the likeliest classes with their probabilities, ties by name), top_keywords and rules."""
+    ranked = F.array_sort(F.arrays_zip(F.transform("probabilities", lambda p: -p).alias("p"), F.array(*map(F.lit, fixed.DOCTYPES)).alias("name")))
+    top = F.transform(F.slice(ranked, 1, classes_shown), lambda r: F.struct(r["name"].alias("name"), (-r["p"]).alias("probability")))
+    return classes.withColumn("top", top).withColumn("top_keywords", F.slice("keywords", 1, keywords_shown)).withColumn("rules", F.array_sort("bonuses"))
+
+
 def carried(pages: DataFrame, group: str, order: str) -> DataFrame:
     """effective: the class of the page before if that page had keywords, else the page's own."""
     before = F.lag(F.when(F.size("keywords") > 0, F.col("primary"))).over(Window.partitionBy(group).orderBy(order))

@@ -71,16 +71,51 @@ def expanded(names: DataFrame, nicknames: DataFrame) -> DataFrame:
     return names.join(nicknames.withColumn("alias", F.lower("alias")), F.lower("name") == F.col("alias"), "left").select("id", "name", F.coalesce("canonical", "name").alias("canonical"))
 
 
-def gazetteer_verdict(names: DataFrame, surnames: DataFrame, given: DataFrame) -> DataFrame:
-    """id, boost: surname and given name known 0.15, surname alone 0.10, one edit from a known surname 0.05.
+#: Endings of a name that are no part of it.
+SUFFIXES = [
+    "jr", "jr.", "sr", "sr.", "ii", "iii", "iv", "v", "esq", "esq.", "md", "m.d.", "do", "d.o.", "phd", "ph.d.", "jd", "j.d.", "llm", "l.l.m.", "mba", "m.b.a.", "rn", "r.n.", "np", "n.p.", "pa", "p.a.", "crna",
+    "dds", "d.d.s.", "dmd", "d.m.d.", "od", "o.d.", "cpa", "c.p.a.", "cfa", "cfp", "ret", "ret.",
+]
 
-    The dimension tables are optional, (word) each; blocks of like length and
-    first letter keep the edit-distance join from comparing everything.
+
+def _lacking_one(word: Column) -> Column:
+    """The word, and the word without each one of its characters."""
+    return F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.left(word, i - 1), F.substring(word, i + 1, F.length(word))))))
+
+
+def gazetteer_verdict(names: DataFrame, surnames: DataFrame, given: DataFrame, nicknames: DataFrame | None = None) -> DataFrame:
+    """id, boost, given_only of names(id, name): surname and given name known 0.15, surname alone 0.10, a near surname 0.05.
+
+    Endings such as jr are no part of a name. All parts of a hyphenated surname
+    known count as the surname, some of them as near. Near is also one edit from a
+    known surname, or rn read for m. The dimension tables are optional, (word)
+    each; nicknames(alias, canonical) stand for given names. Words that are one
+    edit apart share a word that lacks one character of either, so near surnames
+    meet by an equal key and are compared then. given_only: a single word that is
+    a known given name and no surname.
     """
-    rows = name_parts(names).withColumn("first", F.lower(F.element_at(F.split("name", r"\s+"), 1)))
-    s, g = surnames.select(F.lower("word").alias("surname")).distinct().withColumn("s", F.lit(True)), given.select(F.lower("word").alias("first")).distinct().withColumn("g", F.lit(True))
-    rows = rows.join(s, "surname", "left").join(g, "first", "left")
-    known = s.select(F.col("surname").alias("word"), F.explode(F.array(*(F.length("surname") + d for d in (-1, 0, 1)))).alias("size"))
-    fuzzy = rows.where("s IS NULL").select("id", "surname", F.length("surname").alias("size")).join(known, "size").where(F.levenshtein("surname", "word") == 1).select("id").distinct().withColumn("f", F.lit(True))
-    rows = rows.join(fuzzy, "id", "left")
-    return rows.select("id", F.when(F.col("s") & F.col("g"), 0.15).when(F.col("s"), 0.10).when(F.col("f"), 0.05).otherwise(0.0).alias("boost"))
+    tokens = F.filter(F.split(normalize.normalized(F.trim(F.col("name"))), rf"(?:{fixed.WHITE}|,)+"), lambda t: F.regexp_replace(t, r"^\p{P}+|\p{P}+$", "") != "")
+    lasts = F.reverse(F.transform(tokens, lambda t: F.lower(F.regexp_replace(t, r"^\p{P}+|\p{P}+$", ""))))
+    # endings are dropped from the back, but never the whole name
+    kept = F.reverse(F.aggregate(lasts, F.array().cast("array<string>"), lambda out, t: F.when((F.size(out) == 0) & t.isin(*SUFFIXES), out).otherwise(F.concat(out, F.array(t)))))
+    rows = names.select("id", F.col("name").alias("whole"), F.when(F.size(kept) > 0, kept).otherwise(F.reverse(lasts)).alias("t")).where(F.size("t") > 0)
+    rows = rows.select("id", F.element_at("t", -1).alias("surname"), F.when(F.size("t") > 1, F.array_join(F.slice("t", 1, F.size("t") - 1), " ")).alias("first"))
+    s = surnames.select(F.lower("word").alias("w")).distinct()
+    g = given.select(F.lower("word").alias("w")).distinct()
+    aliases = g.select(F.col("w").alias("alias"))
+    if nicknames is not None:
+        aliases = aliases.unionByName(nicknames.select(F.lower("alias").alias("alias"), F.lower("canonical").alias("w")).join(g, "w", "left_semi").select("alias")).distinct()
+    known = lambda column, dim, name: rows.select(F.col(column).alias("w")).where("w IS NOT NULL").distinct().join(dim, "w", "left_semi").select(F.col("w").alias(column), F.lit(True).alias(name))
+    exact, firsts, only = known("surname", s, "s"), known("first", aliases.withColumnRenamed("alias", "w"), "g"), known("surname", g, "o")
+    parts = rows.select("surname").where(F.contains("surname", F.lit("-"))).distinct().select("surname", F.explode(F.split("surname", "-")).alias("w")).where("w != ''")
+    hyphens = parts.join(s.withColumn("hit", F.lit(1)), "w", "left").groupBy("surname").agg((F.count("hit") == F.count(F.lit(1))).alias("every"), (F.count("hit") > 0).alias("some"))
+    asked = rows.select("surname").distinct().join(exact, "surname", "left_anti")
+    keys = s.select(F.col("w").alias("word"), F.explode(_lacking_one(F.col("w"))).alias("key"))
+    near = asked.select("surname", F.explode(_lacking_one(F.col("surname"))).alias("key")).join(keys, "key").where(F.levenshtein("surname", "word") == 1).select("surname")
+    read = asked.where(F.contains("surname", F.lit("rn"))).select("surname", F.explode(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length("surname") - 1, F.lit(1))), lambda i: F.substring("surname", i, F.lit(2)) == "rn"), lambda i: F.concat(F.left("surname", i - 1), F.lit("m"), F.substring("surname", i + 2, F.length("surname"))))).alias("w")).join(s, "w", "left_semi").select("surname")
+    fuzzy = near.unionByName(read).distinct().withColumn("f", F.lit(True))
+    rows = rows.join(exact, "surname", "left").join(firsts, "first", "left").join(only, "surname", "left").join(hyphens, "surname", "left").join(fuzzy, "surname", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    full = yes("s") | yes("every")
+    boost = F.when(full & yes("g"), 0.15).when(full, 0.10).when(yes("some") | yes("f"), 0.05).otherwise(0.0)
+    return rows.select("id", boost.alias("boost"), (F.col("first").isNull() & yes("o") & (boost == 0)).alias("given_only"))

@@ -29,6 +29,21 @@ def redacted(texts: DataFrame, found: DataFrame, halo: int = 0, mark: str = BLOC
     return rows.select("doc_id", rest.alias("text"), F.col("s.gone").alias("excluded"), (F.length("text") - F.col("s.gone")).alias("surviving"))
 
 
+def applied(texts: DataFrame, wanted: DataFrame, already: DataFrame | None = None, halo: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(redacted texts, regions): a batch of spans applied, but for those that earlier ones cover.
+
+    Regions are one row a span: doc_id, start, len, category, state (applied or
+    covered) and a fingerprint, for the audit.
+    """
+    new = wanted if already is None else uncovered(wanted, already)
+    keep = ["doc_id", "start", "len", "category"]
+    marked = new.select(*keep).distinct().withColumn("state", F.lit("applied"))
+    rows = wanted.select(*keep).distinct().join(marked, keep, "left").withColumn("state", F.coalesce("state", F.lit("covered")))
+    print_ = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in ("doc_id", "start", "len", "category"))), 256)
+    both = new.select("doc_id", "start", "len") if already is None else new.select("doc_id", "start", "len").unionByName(already.select("doc_id", "start", "len"))
+    return redacted(texts, both, halo), rows.withColumn("fingerprint", print_)
+
+
 def lineage(text: Column, mark: str = BLOCK) -> Column:
     """SHA-256 over each surviving character that is not white space, with its place."""
     chars = F.transform(F.split(text, ""), lambda c, i: F.when(~c.rlike(r"^\s*$") & (c != mark), F.concat(c, F.lit("\x1f"), i.cast("string"), F.lit("\x1f"))).otherwise(""))

@@ -52,6 +52,8 @@ def summary(signals: Column) -> Column:
             .when(s["type"] == "validator", F.concat(F.lit("validator("), s["name"], F.lit(")")))
             .when(s["type"] == "ctx+", F.concat(F.lit("ctx+("), value, F.lit(")")))
             .when(s["type"] == "ctx-", F.concat(F.lit("ctx-("), value, F.lit(")")))
+            .when(s["type"].isin("bloom.surname", "bloom.given"), s["type"])
+            .when(s["type"].isin("bloom.fuzzy", "ocr"), F.concat(s["type"], F.lit("("), value, F.lit(")")))
             .otherwise(F.concat(s["type"], F.lit("("), s["name"], F.lit(")")))
         )
 
@@ -72,6 +74,39 @@ def signals() -> Column:
     return F.filter(parts, lambda s: s.isNotNull())
 
 
+#: Columns of an audit record, in order.
+AUDIT_COLUMNS = [
+    "id", "pageIndex", "matchedText", "source", "piiCategory", "piiConfidence", "term", "ruleID", "ruleVersion", "gazetteerManifestVersion", "finalScore", "appliedThreshold", "rationaleSummary",
+    "isSelected", "wasApplied", "suppressedByOverlap", "foiaExemption", "foiaCitation", "foiaNote",
+]
+
+
+def audit_records(found: DataFrame, cutoffs: dict[str, float], sensitive: bool = False, manifest: str = "") -> DataFrame:
+    """Records with AUDIT_COLUMNS, all as text, of scored spans; selected, applied, suppressed, term and notes are taken from columns of these names if there are any.
+
+    Unless sensitive texts are asked for, the match is masked, the term is the
+    category's name (or masked), and the patterns of user flags are taken out of
+    the reasons. Every cell that a spreadsheet would take for a formula gets a quote.
+    """
+    catalogue = F.create_map(*(F.lit(x) for pair in fixed.CATALOGUE.items() for x in pair))
+    has = lambda c, otherwise: F.col(c) if c in found.columns else F.lit(otherwise)
+    cutoff = F.lit(None).cast("double")
+    for c, v in cutoffs.items():
+        cutoff = F.when(F.col("category") == c, v).otherwise(cutoff)
+    why = summary(signals())
+    term = has("term", "").cast("string")
+    shown = F.col("matched") if sensitive else normalize.masked(F.col("matched"))
+    number = lambda c: F.coalesce(F.format_string("%.4f", c.cast("double")), F.lit(""))
+    flag = lambda c: F.when(F.coalesce(c.cast("boolean"), F.lit(False)), "true").otherwise("false")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    cells = [
+        F.sha2(fingerprint(), 256), text(F.col("doc_id")), text(shown), text(has("source", "textLayer")), text(F.col("category")), number(F.col("confidence")),
+        text(term if sensitive else F.coalesce("category", normalize.masked(term))), text(F.col("rule")), text(F.try_element_at(catalogue, F.col("rule"))), F.lit(manifest), number(F.col("confidence")), number(cutoff),
+        text(why if sensitive else sanitised(why)), flag(has("selected", False)), flag(has("applied", False)), flag(has("suppressed", False)), text(has("exemption", "")), text(has("citation", "")), text(has("note", "")),
+    ]
+    return found.select(*(normalize.neutralised(c).alias(n) for c, n in zip(cells, AUDIT_COLUMNS, strict=True)))
+
+
 def audit(found: DataFrame) -> DataFrame:
     """Audit records: places, masked text, scores and reasons; no matched text in clear."""
     catalogue = F.create_map(*(F.lit(x) for pair in fixed.CATALOGUE.items() for x in pair))
@@ -100,6 +135,39 @@ def evaluation(found: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.select("category", zero("true_positives").alias("true_positives"), (zero("labels") - zero("true_positives")).alias("false_negatives"), zero("false_positives").alias("false_positives"))
 
 
+def scan_report(found: DataFrame, cutoffs: dict[str, float]) -> DataFrame:
+    """category (null: all), candidates, pages, applied, deselected, below, suppressed of spans(applied, selected, suppressed)."""
+    cutoff = F.lit(None).cast("double")
+    for c, v in cutoffs.items():
+        cutoff = F.when(F.col("category") == c, v).otherwise(cutoff)
+    below = F.coalesce(F.col("confidence") < cutoff, F.lit(False))
+    return found.rollup("category").agg(
+        F.count(F.lit(1)).alias("candidates"), F.count_distinct("doc_id").alias("pages"), F.count_if("applied").alias("applied"),
+        F.count_if(~F.col("selected") & ~F.col("suppressed") & ~below).alias("deselected"), F.count_if(below).alias("below"), F.count_if("suppressed").alias("suppressed"),
+    )
+
+
+def evaluation_cells(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """category, doctype, bucket, true_positives, false_negatives, false_positives, suppress_total, suppress_fired.
+
+    truth(doc_id, doctype, bucket, category, start, len, outcome) has the labels; one
+    whose outcome is suppress must not be met. Spans and labels of a category meet
+    by any overlap; a span of a document without labels counts in no cell.
+    """
+    cell = ["category", "doctype", "bucket"]
+    f = found.select("doc_id", "category", F.col("start").alias("s"), (F.col("start") + F.col("len")).alias("e")).distinct()
+    t = truth.select("doc_id", *cell, F.col("start").alias("ts"), (F.col("start") + F.col("len")).alias("te"), F.coalesce("outcome", F.lit("redact")).alias("outcome")).distinct()
+    met = t.join(f, ["doc_id", "category"]).where((F.col("s") < F.col("te")) & (F.col("ts") < F.col("e")))
+    labels = t.join(met.select("doc_id", "category", "ts", "te").distinct().withColumn("hit", F.lit(True)), ["doc_id", "category", "ts", "te"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    quiet = F.col("outcome") == "suppress"
+    own = labels.groupBy(*cell).agg(F.count_if(~quiet & F.col("hit")).alias("true_positives"), F.count_if(~quiet & ~F.col("hit")).alias("false_negatives"), F.count_if(quiet).alias("suppress_total"), F.count_if(quiet & ~F.col("hit")).alias("suppress_fired"))
+    places = truth.select("doc_id", "doctype", "bucket").distinct()
+    extra = f.join(met.select("doc_id", "category", "s", "e").distinct(), ["doc_id", "category", "s", "e"], "left_anti").join(places, "doc_id").groupBy(*cell).agg(F.count(F.lit(1)).alias("false_positives"))
+    rows = own.join(extra, cell, "full")
+    names = ["true_positives", "false_negatives", "false_positives", "suppress_total", "suppress_fired"]
+    return rows.select(*cell, *(F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names))
+
+
 def priors(decisions: DataFrame) -> DataFrame:
     """category, alpha, beta, mean, decisions: accepted and rejected decisions folded in order of time.
 

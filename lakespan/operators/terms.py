@@ -21,6 +21,13 @@ def stored(spark, terms: list[tuple[str, str, bool]]) -> DataFrame:
     return spark.createDataFrame(good, "list string, pattern string, is_regex boolean")
 
 
+def with_template(terms: DataFrame, template: DataFrame) -> DataFrame:
+    """The stored terms and those of a template(list, pattern, is_regex) that are not among them, whatever their case."""
+    key = lambda d: d.withColumn("key", F.when(F.col("is_regex"), F.col("pattern")).otherwise(F.lower(F.trim("pattern"))))
+    new = key(template).where("trim(pattern) != '' AND length(pattern) <= 200").dropDuplicates(["list", "key", "is_regex"]).join(key(terms).select("list", "key", "is_regex"), ["list", "key", "is_regex"], "left_anti")
+    return terms.unionByName(new.select("list", F.trim("pattern").alias("pattern"), "is_regex"))
+
+
 def never_flagged(found: DataFrame, literals: list[str], patterns: list[str] = ()) -> DataFrame:
     """Spans but those whose normalised text is a literal, or wholly matches a pattern."""
     spark = found.sparkSession

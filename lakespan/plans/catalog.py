@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detecting, scoring_queries, text_queries
+from . import detecting, result_queries, scoring_queries, text_queries
 
-_MODULES = (detecting, scoring_queries, text_queries)
+_MODULES = (detecting, scoring_queries, text_queries, result_queries)
 
 
 def queries() -> dict:

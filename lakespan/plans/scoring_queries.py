@@ -35,13 +35,10 @@ def _cut_sql(preset: str, column: str = "category") -> str:
 
 def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans kept and dropped by each preset."""
-    found = _found(spark, sf_dir)
-    out = None
-    for name in fixed.PRESETS:
-        dim = F.broadcast(scoring.cutoffs(spark, scoring.preset(name)))
-        rows = found.join(dim, "category").groupBy("category").agg(F.count_if(F.col("confidence") >= F.col("cutoff")).alias("kept"), F.count_if(F.col("confidence") < F.col("cutoff")).alias("dropped")).withColumn("preset", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    table_ = [(name, c, v) for name in fixed.PRESETS for c, v in scoring.preset(name).items()]
+    dim = F.broadcast(spark.createDataFrame(table_, "preset string, category string, cutoff double"))
+    rows = _found(spark, sf_dir).select("category", "confidence").join(dim, "category")
+    return rows.groupBy("preset", "category").agg(F.count_if(F.col("confidence") >= F.col("cutoff")).alias("kept"), F.count_if(F.col("confidence") < F.col("cutoff")).alias("dropped"))
 
 
 THRESHOLDS_SQL = f"WITH a AS ({_sql_all()}) " + " UNION ALL ".join(f"SELECT category, count(*) FILTER (confidence >= {_cut_sql(p)}) AS kept, count(*) FILTER (confidence < {_cut_sql(p)}) AS dropped, '{p}' AS preset FROM a GROUP BY category" for p in fixed.PRESETS)
@@ -197,7 +194,7 @@ SELECT doc_id, CASE WHEN cut IS NULL THEN text ELSE array_to_string(list_transfo
 def verify_layers(spark: SparkSession, sf_dir: str, categories: list[str] = MEETING) -> DataFrame:
     """Status of each layer and verdict of each document that had a finding of the categories; the terms are two that redaction leaves."""
     texts = corpus(spark, sf_dir)
-    found = scoring.thresholded(_found(spark, sf_dir, categories), scoring.preset("balanced"))
+    found = scratch.written(scoring.thresholded(_found(spark, sf_dir, categories), scoring.preset("balanced")).select("doc_id", "start", "len"), "found")
     own = texts.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     out = scratch.written(redact.redacted(own, found), "redacted")
     digests = scratch.written(redact.digest(own, out), "digests")
@@ -232,8 +229,8 @@ HISTOGRAM_SQL = f"WITH a AS (SELECT *, least(greatest(floor(round(confidence * 5
 
 
 def run_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the strict preset loses against the balanced one."""
-    found = _found(spark, sf_dir)
+    """What the strict preset loses against the balanced one; the detectors run once."""
+    found = scratch.written(_found(spark, sf_dir).select("doc_id", "category", "start", "len", "confidence"), "found")
     return report.run_difference(scoring.thresholded(found, scoring.preset("balanced")), scoring.thresholded(found, scoring.preset("conservative")))
 
 
@@ -254,8 +251,8 @@ SELECT doc_id, category, rule, {cat} AS catalogue, start, len, CASE WHEN regexp_
 
 
 def eval_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strict findings scored against the balanced ones as if those were labels."""
-    found = _found(spark, sf_dir)
+    """Strict findings scored against the balanced ones as if those were labels; the detectors run once."""
+    found = scratch.written(_found(spark, sf_dir).select("doc_id", "category", "start", "len", "confidence"), "found")
     truth = scoring.thresholded(found, scoring.preset("balanced")).where(F.col("len") > 9)
     return report.evaluation(scoring.thresholded(found, scoring.preset("conservative")), truth)
 

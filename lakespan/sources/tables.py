@@ -117,6 +117,19 @@ def checked(spark: SparkSession, path: str, sha256: str) -> bool:
     return bool(row and row.ok)
 
 
+def sized(pages: DataFrame, most: float = 5000.0) -> DataFrame:
+    """Adds accepted: pages whose width and height are above 0 and at most 5000 units; unknown sizes are not accepted."""
+    side = lambda c: F.col(c).between(0, most) & (F.col(c) > 0)
+    return pages.withColumn("accepted", F.coalesce(side("width") & side("height"), F.lit(False)))
+
+
+def gated(spark: SparkSession, path: str, sha256: str, schema: str) -> tuple[DataFrame, bool]:
+    """(a JSON table, whether it is degraded): the table is empty if the file's digest is not the expected one."""
+    if checked(spark, path, sha256):
+        return spark.read.schema(schema).option("multiLine", True).json(path), False
+    return spark.createDataFrame([], schema), True
+
+
 def versioned(row: dict, name: str, low: int, high: int) -> dict:
     """The row, if its version is supported."""
     if not low <= int(row.get("version", -1)) <= high:
