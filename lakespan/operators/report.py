@@ -96,7 +96,7 @@ def audit_records(found: DataFrame, cutoffs: dict[str, float], sensitive: bool =
     why = summary(signals())
     term = has("term", "").cast("string")
     shown = F.col("matched") if sensitive else normalize.masked(F.col("matched"))
-    number = lambda c: F.coalesce(F.format_string("%.4f", c.cast("double")), F.lit(""))
+    number = lambda c: F.when(c.isNotNull(), F.format_string("%.4f", c.cast("double"))).otherwise("")
     flag = lambda c: F.when(F.coalesce(c.cast("boolean"), F.lit(False)), "true").otherwise("false")
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     cells = [

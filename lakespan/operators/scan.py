@@ -61,13 +61,23 @@ def names(texts: DataFrame, surnames: DataFrame, given: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = texts.select("doc_id", text.alias("text"), F.array(F.struct(F.lit(False).alias("strict"), text.alias("t")), F.struct(F.lit(True).alias("strict"), normalize.shadow(text).alias("t"))).alias("forms"))
-    hits = F.flatten(F.transform("forms", lambda f: F.when(~f["strict"] | (f["t"] != F.col("text")), F.transform(spans(f["t"], _NAME), lambda s: F.struct(f["strict"].alias("strict"), s["start"].alias("start"), s["matched"].alias("name")))).otherwise(F.array().cast("array<struct<strict:boolean,start:int,name:string>>"))))
+
+    def endings(s: Column, strict: Column) -> Column:
+        """The run, and the run without its first words, which may be a label."""
+        words = F.split(s["matched"], " ")
+        skipped = lambda k: F.length(F.array_join(F.slice(words, 1, k), " ")) + F.when(k > 0, 1).otherwise(0)
+        return F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.struct(strict.alias("strict"), s["start"].alias("run"), (s["start"] + skipped(k)).cast("int").alias("start"), F.array_join(F.slice(words, k + 1, F.size(words)), " ").alias("name")))
+
+    none = F.array().cast("array<struct<strict:boolean,run:int,start:int,name:string>>")
+    hits = F.flatten(F.transform("forms", lambda f: F.when(~f["strict"] | (f["t"] != F.col("text")), F.flatten(F.transform(spans(f["t"], _NAME), lambda s: endings(s, f["strict"])))).otherwise(none)))
     rows = rows.select("doc_id", hits.alias("hits"), pieces_of(F.col("text")).alias("pieces"))
-    rows = rows.select("doc_id", F.inline(F.transform("hits", lambda h: F.struct(h["strict"].alias("strict"), h["start"].alias("start"), F.length(h["name"]).alias("len"), h["name"].alias("name"), cut(F.col("pieces"), h["start"], F.length(h["name"])).alias("matched")))))
+    rows = rows.select("doc_id", F.inline(F.transform("hits", lambda h: F.struct(h["strict"].alias("strict"), h["run"].alias("run"), h["start"].alias("start"), F.length(h["name"]).alias("len"), h["name"].alias("name"), cut(F.col("pieces"), h["start"], F.length(h["name"])).alias("matched")))))
     distinct = rows.select("name").distinct().select(F.col("name").alias("id"), "name")
     verdict = entities.gazetteer_verdict(distinct, surnames, given).select(F.col("id").alias("name"), "boost", "given_only")
     rows = rows.join(verdict, "name").where((F.col("boost") > F.when(F.col("strict"), 0.05).otherwise(0.0)) | F.col("given_only"))
-    out = rows.groupBy("doc_id", "start", "len").agg(F.max(F.struct("boost", "matched")).alias("m"))
+    # of a run's endings the best known, then the longest
+    best = rows.groupBy("doc_id", "strict", "run").agg(F.max(F.struct("boost", "len", "start", "matched")).alias("m")).select("doc_id", "m.*")
+    out = best.groupBy("doc_id", "start", "len").agg(F.max(F.struct("boost", "matched")).alias("m"))
     return out.select("doc_id", "start", "len", F.col("m.matched").alias("matched"), (F.col("m.boost") + 0.70).alias("confidence"))
 
 
