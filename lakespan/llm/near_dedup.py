@@ -13,11 +13,10 @@ Equal sets are first merged into classes, so a large group of copies is one row
 from there on. In each band bucket, members are verified against a leader; only
 pairs that are still in different components are verified after that, so a group
 of near copies costs a few pairs for each member and still no link between
-different components is lost. Members of large buckets that are left meet by
-prefix tokens, not by bucket: a pair that is similar enough shares one of the
-rarest shingles of each (as many as it may lack, and one). Where a token's
-members are mostly of one component, only the others are held against all.
-Verification intersects the full sets.
+different components is lost. Of a bucket that holds several components then,
+only the members outside its most frequent one are held against the others, by
+classes of like size, and in large buckets only those that can still be similar
+by what is known of their intersections. Verification intersects the full sets.
 
 Empty texts, null texts and texts without words have an empty set and link to
 nothing; very long texts are taken whole. Of rows that share a doc_id with
@@ -121,15 +120,16 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     reps = mains.groupBy("digest").agg(F.min(F.struct("doc_id", "hash")).alias("r"), F.sum("rows").alias("rows")).select("digest", F.col("r.doc_id").alias("rep"), "r.hash", "rows")
     classes = scratch.written(reps, "classes")
     reps = classes.select("digest", "rep", "rows")
-    wanted = classes.select(F.col("rep").alias("doc_id"), "hash")
-    buckets = full.join(wanted, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    wanted = classes.select(F.col("rep").alias("doc_id"), F.col("hash").alias("own"))
+    # joined by doc_id alone, so that rows that repeat it lie together already
+    buckets = full.join(wanted, "doc_id").where("hash = own").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = scratch.written(buckets.join(shared, "bucket"), "shared-buckets")
     degrees = buckets.groupBy("rep").agg(F.sum("members").alias("degree"))
     buckets = scratch.written(buckets.drop("members").join(degrees, "rep"), "buckets")
 
     wanted = wanted.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = scratch.written(docs.join(wanted.hint("merge"), ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_sets, "rep long, elements array<long>"), "sets")
+    sets = scratch.written(docs.join(wanted.hint("merge"), "doc_id").where("hash = own").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_sets, "rep long, elements array<long>"), "sets")
     leaders = scratch.written(_leaders(buckets, percent), "leaders")
     tried = comps = pivots = None
     for step in ("first", "mixed", "rest"):
@@ -160,31 +160,21 @@ def _split(buckets: DataFrame) -> DataFrame:
     return buckets.join(split.select("bucket", "members"), "bucket")
 
 
-def _bounded(buckets: DataFrame, sets: DataFrame, pivots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Members that may be similar to another, with what bounds their intersections; and the frequencies of their shingles.
+def _bounded(buckets: DataFrame, sets: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """Members that may be similar to another, with what bounds their intersections.
 
-    shared: shingles that some other member has too; own: those that none has.
-    pivot, inside: a document that the member was compared with, and the shared
-    shingles inside that document; the other shared shingles lie outside of it.
-    A pivot's own shared shingles are all inside.
+    shared: shingles that some other member has too. pivot, inside: a document
+    that the member was compared with, and the shared shingles inside that
+    document; the other shared shingles lie outside of it. A pivot's own shared
+    shingles are all inside. buckets: where the member is, a few dozen at most.
     """
-    reps = buckets.groupBy("rep", "n", "component").agg(F.count(F.lit(1)).alias("_")).drop("_").join(pivots, "rep", "left")
+    reps = buckets.groupBy("rep", "n", "component").agg(F.collect_list("bucket").alias("buckets")).join(pivots, "rep", "left")
     counted = reps.select("rep").unionByName(reps.where("pivot IS NOT NULL").select(F.col("pivot").alias("rep"))).distinct()
-    counts = scratch.written(sets.join(counted, "rep").select("rep", F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")), "shingle-counts")
-    alone = counts.where("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-    able = reps.join(alone, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("shared", F.col("n") - F.col("own")).where(F.col("shared") * 100 >= F.col("n") * percent)
-    able = able.select("rep", "n", "component", "own", "shared", F.coalesce("pivot", "rep").alias("pivot"), F.coalesce("common", "shared").alias("inside"))
-    return able, counts.where("c > 1").select("e", "c")
-
-
-def _tokens(able: DataFrame, sets: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
-    """able with a row for each prefix token: the rarest shingles, one more than a member may lack."""
-    each = sets.join(able.select("rep"), "rep").select("rep", F.explode("elements").alias("e")).join(counts, "e")
-    ranked = each.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("all"))
-    # the shingles that no other has come first and meet nobody
-    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("own")
-    rows = able.join(ranked, "rep").where(most > 0).withColumn("all", F.slice("all", F.lit(1), most.cast("int")))
-    return rows.select("rep", "n", "component", "shared", "pivot", "inside", F.explode(F.transform("all", lambda x: x["e"])).alias("key"))
+    single = sets.join(counted, "rep").select("rep", F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).where("c = 1")
+    alone = single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    shared = F.col("n") - F.coalesce("own", F.lit(0))
+    able = reps.join(alone, "rep", "left").withColumn("shared", shared).where(F.col("shared") * 100 >= F.col("n") * percent)
+    return able.select("rep", "n", "component", "buckets", "shared", F.coalesce("pivot", "rep").alias("pivot"), F.coalesce("common", "shared").alias("inside"), F.explode("buckets").alias("key"))
 
 
 def _cross(members: DataFrame, able: Column, percent: int) -> DataFrame:
@@ -232,9 +222,9 @@ def _pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame, pivots: DataFr
     """Candidate pairs a < b that the step verifies.
 
     mixed: members with leaders of another order, where components still differ;
-    rest: pairs in different components that meet in a small bucket; of members
-    of large buckets, those that share a prefix token and can still be similar by
-    what is known of their intersections with the rest and with their pivots.
+    rest: pairs of a bucket that are in different components; in large buckets,
+    those of them that can still be similar by what is known of their
+    intersections with the rest and with their pivots.
     """
     comps = comps.withColumnsRenamed({"node": "rep"})
     buckets = _split(buckets.drop("degree").join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
@@ -243,11 +233,12 @@ def _pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame, pivots: DataFr
     buckets = scratch.written(buckets, "split-buckets")
     near = _near(F.col("n1"), F.col("n2"), percent)
     small = _cross(buckets.where(F.col("members") <= SMALL_BUCKET).select("rep", "n", "component", F.col("bucket").alias("key")), near, percent)
-    able, counts = _bounded(buckets.where(F.col("members") > SMALL_BUCKET), sets, pivots, percent)
-    able = scratch.written(able, "large-buckets")
+    able = scratch.written(_bounded(buckets.where(F.col("members") > SMALL_BUCKET), sets, pivots, percent), "large-buckets")
     outside = F.least(F.col("shared1") - F.col("inside1"), F.col("shared2") - F.col("inside2"))
     most = F.least("shared1", "shared2", F.when(F.col("pivot1") == F.col("pivot2"), F.least("inside1", "inside2") + outside))
-    large = _cross(_tokens(able, sets, counts, percent), near & (most * 100 >= (F.col("n1") + F.col("n2") - most) * percent), percent)
+    # a pair that meets in several buckets is listed in the least of them only
+    once = F.array_min(F.array_intersect("buckets1", "buckets2")) == F.col("key")
+    large = _cross(able, near & (most * 100 >= (F.col("n1") + F.col("n2") - most) * percent) & once, percent)
     return small.unionByName(large).distinct()
 
 
