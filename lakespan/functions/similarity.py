@@ -2,37 +2,63 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _codes(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, one text a row, -1 behind its end; lengths)."""
+    raw = [np.frombuffer(t.encode("utf-32-le"), "<i4") for t in texts]
+    size = np.array([len(r) for r in raw])
+    out = np.full((len(raw), max(int(size.max(initial=0)), 1)), -1, np.int32)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.concatenate(raw) if len(raw) else []
+    return out, size
+
+
+def jaro_winklers(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Jaro-Winkler of all pairs at once, a character of the left sides at a time; lower case, no threshold for the prefix."""
+    (x, n), (y, k) = _codes(a.str.lower()), _codes(b.str.lower())
+    rows, place = np.arange(len(x)), np.arange(y.shape[1])
+    reach = np.maximum(np.maximum(n, k) // 2 - 1, 0)
+    taken, order = np.zeros(y.shape, bool), np.full(x.shape, -1)
+    for i in range(x.shape[1]):
+        able = (y == x[:, i : i + 1]) & ~taken & (x[:, i : i + 1] >= 0) & (np.abs(place - i) <= reach[:, None])
+        first = able.argmax(axis=1)
+        hit = able[rows, first]
+        taken[rows[hit], first[hit]] = True
+        order[hit, i] = first[hit]
+    m = taken.sum(axis=1)
+    # matched characters of both sides, each in its own order
+    left, right = (np.argsort(~mask, axis=1, kind="stable") for mask in (order >= 0, taken))
+    wide = min(left.shape[1], right.shape[1])
+    differ = (np.take_along_axis(x, left, 1)[:, :wide] != np.take_along_axis(y, right, 1)[:, :wide]) & (np.arange(wide) < m[:, None])
+    moved = differ.sum(axis=1) / 2
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / np.maximum(n, 1) + m / np.maximum(k, 1) + (m - moved) / some) / 3, 0.0)
+    four = min(4, x.shape[1], y.shape[1])
+    prefix = np.cumprod((x[:, :four] == y[:, :four]) & (x[:, :four] >= 0), axis=1).sum(axis=1)
+    out = jaro + prefix * 0.1 * (1 - jaro)
+    return np.where((n == 0) | (k == 0), 0.0, np.where((n == k) & (m == n) & (moved == 0), 1.0, out))
+
+
 def jaro_winkler(a: str, b: str) -> float:
-    a, b = a.lower(), b.lower()
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free, pairs = [True] * len(b), []
-    for i, c in enumerate(a):
-        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if free[j] and b[j] == c), None)
-        if j is not None:
-            free[j] = False
-            pairs.append((c, j))
-    if not pairs:
-        return 0.0
-    m = len(pairs)
-    moved = sum(x != b[j] for (x, _), j in zip(pairs, sorted(j for _, j in pairs), strict=True)) / 2
-    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
-    prefix = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
-    return jaro + prefix * 0.1 * (1 - jaro)
+    return float(jaro_winklers(pd.Series([a]), pd.Series([b]))[0])
 
 
 @F.pandas_udf(T.DoubleType())
 def _jw(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    """In slices of like length, so that one long text does not widen all the others."""
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    at = np.flatnonzero(known)
+    size = np.maximum(a.str.len().to_numpy()[at], b.str.len().to_numpy()[at])
+    for part in np.array_split(at[np.argsort(size, kind="stable")], max(1, len(at) // 512)):
+        if len(part):
+            out[part] = jaro_winklers(a.iloc[part], b.iloc[part])
+    return pd.Series(out).where(pd.Series(known), None).astype("float64")
 
 
 def similarity(a: Column, b: Column) -> Column:

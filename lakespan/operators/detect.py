@@ -62,8 +62,21 @@ def _valid(wanted: set[str]):
     return of
 
 
-def candidates(texts: DataFrame, categories: list[str] | None = None, doctype: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep..., category, rule, start, len, matched, before, after: spans that pass their checks."""
+def allowed(doctype: str = "doctype") -> Column:
+    """Whether the gates of a class let a found span stand."""
+    out = F.lit(True)
+    for category, rule, _, _ in fixed.PATTERNS:
+        gate = _gate(category, rule, F.col(doctype))
+        if gate is not None:
+            out = F.when((F.col("category") == category) & (F.col("rule") == rule), gate).otherwise(out)
+    return out
+
+
+def candidates(texts: DataFrame, categories: list[str] | None = None, doctype: str | None = None, keep: tuple[str, ...] = ("doc_id",), gated: bool = True) -> DataFrame:
+    """keep..., category, rule, start, len, matched, before, after: spans that pass their checks.
+
+    With gated=False all rules run, and allowed() tells later, by the class, which spans stand.
+    """
     wanted = set(categories or CATEGORIES)
     text = F.col("text")
     none = F.array().cast("array<struct<category:string,rule:string,start:int,matched:string>>")
@@ -71,8 +84,7 @@ def candidates(texts: DataFrame, categories: list[str] | None = None, doctype: s
     for category, rule, pattern, group in fixed.PATTERNS:
         if category not in wanted:
             continue
-        gate = _gate(category, rule, F.col(doctype) if doctype else None)
-
+        gate = _gate(category, rule, F.col(doctype) if doctype else None) if gated else None
         found = F.transform(spans(text, pattern), _span(category, rule, pattern if group else None))
         need = "@" if category == "email" else "" if rule in LETTERS_ONLY else "[0-9]"
         guarded.setdefault(need, []).append(found if gate is None else F.when(gate, found).otherwise(none))
@@ -165,12 +177,12 @@ def scored(found: DataFrame, categories: list[str] | None = None) -> DataFrame:
     return out.where(~drop).drop("near", "dated")
 
 
-def detected(texts: DataFrame, categories: list[str] | None = None, doctype: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def detected(texts: DataFrame, categories: list[str] | None = None, doctype: str | None = None, keep: tuple[str, ...] = ("doc_id",), gated: bool = True) -> DataFrame:
     """Spans with their confidence, for the categories asked for (all by default).
 
     texts has text and the columns to keep; null texts have no spans.
     """
-    return scored(candidates(texts, categories, doctype, keep), categories)
+    return scored(candidates(texts, categories, doctype, keep, gated), categories)
 
 
 def saved_patterns(texts: DataFrame, library: dict[str, str] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

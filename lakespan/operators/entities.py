@@ -13,13 +13,17 @@ SIMILAR, AMBIGUOUS = 0.70, 15
 
 
 def groups(found: DataFrame, page: str = "doc_id") -> DataFrame:
-    """category, canonical, members, pages: spans of one category and canonical form, two at least.
+    """category, canonical, members, pages: spans of one category and canonical form, two at least, and on how many pages."""
+    rows = found.withColumn("canonical", normalize.canonical(F.col("matched"))).where("canonical != ''")
+    return rows.groupBy("category", "canonical").agg(F.count(F.lit(1)).alias("members"), F.count_distinct(page).alias("pages")).where("members >= 2")
 
-    pages is the sorted distinct list; it is as long as the group's pages.
-    """
+
+def memberships(found: DataFrame, page: str = "doc_id") -> DataFrame:
+    """category, canonical, page, spans, members, pages: a row for each page of a group, so that no group is gathered in one row."""
     rows = found.withColumn("canonical", normalize.canonical(F.col("matched"))).where("canonical != ''")
-    out = rows.groupBy("category", "canonical").agg(F.count(F.lit(1)).alias("members"), F.array_sort(F.collect_set(page)).alias("pages"))
-    return out.where("members >= 2")
+    own = rows.groupBy("category", "canonical", page).agg(F.count(F.lit(1)).alias("spans"))
+    sums = own.groupBy("category", "canonical").agg(F.sum("spans").alias("members"), F.count(F.lit(1)).alias("pages")).where("members >= 2")
+    return own.join(sums, ["category", "canonical"]).select("category", "canonical", page, "spans", "members", "pages")
 
 
 def name_parts(names: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, fixed
 from ..operators import detect, doctype
+from ..sources import scratch
 from ..sources.tables import FIXTURE, corpus, fixture, table
 
 SPAN = ("doc_id", "rule", "start", "len", "matched", "confidence")
@@ -208,8 +209,11 @@ def _carry_sql() -> str:
 
 def gated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detectors under the gates of each text's class."""
-    rows = doctype.classified(corpus(spark, sf_dir)).select("doc_id", "text", F.col("primary").alias("doctype"))
-    found = detect.detected(rows, doctype="doctype")
+    # texts are classified where something was found in them, and nowhere else
+    texts = corpus(spark, sf_dir)
+    found = scratch.written(detect.detected(texts, gated=False).select("doc_id", "category", "rule"), "found")
+    classes = doctype.classified(texts.join(found.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", F.col("primary").alias("doctype"))
+    found = found.join(classes, "doc_id").where(detect.allowed())
     return found.groupBy("doctype", "category").agg(F.count(F.lit(1)).alias("spans"))
 
 

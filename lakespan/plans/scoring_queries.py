@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, fixed
 from ..operators import detect, entities, overlap, redact, report, scoring, terms
-from ..sources import scratch
+from ..sources import scratch, sinks
 from ..sources.tables import corpus, table
 from .detecting import TEXTS, _any, _doctype_ctes, _re, sql_found
 
@@ -48,8 +48,11 @@ def posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior of the spans whose families carry a context term, under their text's class."""
     from ..operators import doctype
 
-    rows = doctype.classified(corpus(spark, sf_dir)).select("doc_id", "text", F.col("primary").alias("doctype"))
-    found = detect.detected(rows, ["account", "phone", "ein", "itin", "mrn"], keep=("doc_id", "doctype"))
+    # texts are classified where something was found in them, and nowhere else
+    texts = corpus(spark, sf_dir)
+    found = scratch.written(detect.detected(texts, ["account", "phone", "ein", "itin", "mrn"]), "found")
+    classes = doctype.classified(texts.join(found.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", F.col("primary").alias("doctype"))
+    found = found.join(classes, "doc_id")
     out = scoring.composed(found, "doctype")
     return out.select("doc_id", "category", "rule", "start", "len", F.round("confidence", 6).alias("confidence"), F.round("posterior", 5).alias("posterior"))
 
@@ -141,13 +144,14 @@ SELECT doc_id, min(start) AS start, max(e) - min(start) AS len, count(*) AS n FR
 
 
 def cross_page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal findings in several documents, with the documents."""
-    out = entities.groups(_found(spark, sf_dir, ["email", "phone", "creditCard", "ssn", "name"]))
-    return out.select("category", "canonical", "members", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
+    """Equal findings, a row for each document of a group, with the group's size."""
+    found = scratch.written(_found(spark, sf_dir, ["email", "phone", "creditCard", "ssn", "name"]).select("doc_id", "category", "matched"), "found")
+    return entities.memberships(found)
 
 
 GROUPS_SQL = f"""WITH a AS ({_sql_all(['email', 'phone', 'creditCard', 'ssn', 'name'])}), c AS (SELECT *, regexp_replace(lower(matched), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g') AS canonical FROM a)
-SELECT category, canonical, count(*) AS members, array_to_string(list_sort(list_distinct(list(doc_id))), ',') AS pages FROM c WHERE canonical <> '' GROUP BY category, canonical HAVING count(*) >= 2"""
+, p AS (SELECT category, canonical, doc_id, count(*) AS spans FROM c WHERE canonical <> '' GROUP BY ALL)
+SELECT *, CAST(sum(spans) OVER w AS BIGINT) AS members, count(*) OVER w AS pages FROM p WINDOW w AS (PARTITION BY category, canonical) QUALIFY members >= 2"""
 
 _NAMES = "SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN 'John Smith' WHEN 1 THEN 'J. Smith' WHEN 2 THEN 'Smith' WHEN 3 THEN 'Mary Jones' WHEN 4 THEN 'Maria Jones' WHEN 5 THEN 'Jones' ELSE c_name END AS name FROM customer"
 

@@ -214,7 +214,7 @@ def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
 def stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of documents that arrive as a stream."""
     stream = live.spans(spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(_folder(spark, sf_dir, "documents")), ["email", "phone", "creditCard"])
-    out = live.drained(stream.select("doc_id", "category", "start", "matched"), "lakespan_stream_findings")
+    out = live.landed(stream.select("doc_id", "category", "start", "matched"), "findings")
     return out.groupBy("category").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("doc_id").alias("documents"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.detect import detected
+from ..sources import scratch
 from ..sources.tables import SCHEMAS
 
 
@@ -58,7 +60,16 @@ def priors(decisions: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """The stream's result after all that is there now, through an in-memory table (for tests and small runs)."""
+    """The stream's result after all that is there now, through an in-memory table: for aggregates of a bounded number of rows."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def landed(stream: DataFrame, name: str) -> DataFrame:
+    """The rows that are there now, appended to a Parquet table in the shared folder and read from it; none passes the driver."""
+    spark = stream.sparkSession
+    path = f"{scratch.folder(spark)}/lakespan-stream-{name}-{uuid.uuid4().hex}"
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
