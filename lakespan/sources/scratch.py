@@ -61,11 +61,11 @@ def delete(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _leave() -> None:
     """What this process wrote and did not clear goes with it, if its session still runs."""
-    spark = SparkSession.getActiveSession()
-    if spark is None or not _PATHS:
+    if not _PATHS:
         return
     try:
-        for path in _PATHS:
+        spark = SparkSession.getActiveSession()
+        for path in _PATHS if spark is not None else ():
             delete(spark, path)
     except Exception:  # the session ended first; its folder is the cluster's to clean
         return
