@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import text
 
 #: Text bytes whose distinct chunks are encoded together, and the chunks a task remembers at most.
-SLICE_BYTES, REMEMBERED = 16 << 20, 300_000
+SLICE_BYTES, REMEMBERED = 4 << 20, 150_000
 #: The file format's pre-token pattern, white space written out as the Unicode property.
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 
