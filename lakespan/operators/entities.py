@@ -104,6 +104,7 @@ def gazetteer_verdict(names: DataFrame, surnames: DataFrame, given: DataFrame, n
     kept = F.reverse(F.aggregate(lasts, F.array().cast("array<string>"), lambda out, t: F.when((F.size(out) == 0) & t.isin(*SUFFIXES), out).otherwise(F.concat(out, F.array(t)))))
     rows = names.select("id", F.col("name").alias("whole"), F.when(F.size(kept) > 0, kept).otherwise(F.reverse(lasts)).alias("t")).where(F.size("t") > 0)
     rows = rows.select("id", F.element_at("t", -1).alias("surname"), F.when(F.size("t") > 1, F.array_join(F.slice("t", 1, F.size("t") - 1), " ")).alias("first"))
+    rows = written(rows, "name-parts")  # read once for each dimension
     s = surnames.select(F.lower("word").alias("w")).distinct()
     g = given.select(F.lower("word").alias("w")).distinct()
     aliases = g.select(F.col("w").alias("alias"))

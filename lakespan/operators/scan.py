@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, normalize
 from ..functions.spans import cut, pieces_of, spans
+from ..sources.scratch import written
 from . import detect, entities, overlap, scoring, terms
 
 #: Lowest confidence that suppression leaves to a category.
@@ -48,6 +49,8 @@ def shares(window: Column, words: list[str], boost: Column) -> Column:
 
 
 _NAME = r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’.-]*){0,2}(?![\p{L}\p{N}])"
+#: Where a separator that a shadow turns into a space may join two words of a run.
+_GLUED = r"[\p{L}'’.-][:;,/]\p{Lu}"
 
 
 def names(texts: DataFrame, surnames: DataFrame, given: DataFrame) -> DataFrame:
@@ -58,23 +61,37 @@ def names(texts: DataFrame, surnames: DataFrame, given: DataFrame) -> DataFrame:
     to labels), and each needs a known surname, or for a single word a known given
     name. Text and shadow have the same places, so a name found in both is one.
     Fuzzy surnames count only in the text as it is.
+
+    Texts are read once: their runs are written to the shared folder, and all that
+    asks the gazetteers reads those. A shadow is only made where its runs can
+    differ from those of the text; elsewhere a run stands for both.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = texts.select("doc_id", text.alias("text"), F.array(F.struct(F.lit(False).alias("strict"), text.alias("t")), F.struct(F.lit(True).alias("strict"), normalize.shadow(text).alias("t"))).alias("forms"))
-
-    def endings(s: Column, strict: Column) -> Column:
+    differs = normalize.shadow_recases(F.col("text")) | F.col("text").rlike(_GLUED)
+    same = F.array(F.struct(F.when(F.col("text").rlike("[:;,/]"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))).alias("strict"), F.col("text").alias("t")))
+    both = F.array(F.struct(F.array(F.lit(False)).alias("strict"), F.col("text").alias("t")), F.struct(F.array(F.lit(True)).alias("strict"), normalize.shadow(F.col("text")).alias("t")))
+    # exploded, so that a shadow is a column that is computed once
+    rows = texts.select("doc_id", text.alias("text")).select("doc_id", "text", F.inline(F.when(differs, both).otherwise(same)))
+    shadowed = F.col("strict")[0]
+    rows = rows.where(~shadowed | (F.col("t") != F.col("text")))
+    rows = rows.select("doc_id", "strict", spans(F.col("t"), _NAME).alias("runs"), F.when(shadowed, pieces_of(F.col("text"))).alias("pieces"))
+    own = lambda r: F.when(F.col("pieces").isNotNull(), cut(F.col("pieces"), r["start"], F.length(r["matched"]))).otherwise(r["matched"])
+    rows = rows.select("doc_id", "strict", F.inline(F.transform("runs", lambda r: F.struct(r["start"].alias("run"), r["matched"].alias("words"), own(r).alias("own")))))
+    runs = written(rows, "name-runs")
+
+    def endings() -> Column:
         """The run, and the run without its first words, which may be a label."""
-        words = F.split(s["matched"], " ")
+        words = F.split("words", " ")
         skipped = lambda k: F.length(F.array_join(F.slice(words, 1, k), " ")) + F.when(k > 0, 1).otherwise(0)
-        return F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.struct(strict.alias("strict"), s["start"].alias("run"), (s["start"] + skipped(k)).cast("int").alias("start"), F.array_join(F.slice(words, k + 1, F.size(words)), " ").alias("name")))
-
-    none = F.array().cast("array<struct<strict:boolean,run:int,start:int,name:string>>")
-    hits = F.flatten(F.transform("forms", lambda f: F.when(~f["strict"] | (f["t"] != F.col("text")), F.flatten(F.transform(spans(f["t"], _NAME), lambda s: endings(s, f["strict"])))).otherwise(none)))
-    rows = rows.select("doc_id", hits.alias("hits"), pieces_of(F.col("text")).alias("pieces"))
-    rows = rows.select("doc_id", F.inline(F.transform("hits", lambda h: F.struct(h["strict"].alias("strict"), h["run"].alias("run"), h["start"].alias("start"), F.length(h["name"]).alias("len"), h["name"].alias("name"), cut(F.col("pieces"), h["start"], F.length(h["name"])).alias("matched")))))
-    distinct = rows.select("name").distinct().select(F.col("name").alias("id"), "name")
-    verdict = entities.gazetteer_verdict(distinct, surnames, given).select(F.col("id").alias("name"), "boost", "given_only")
-    rows = rows.join(verdict, "name").where((F.col("boost") > F.when(F.col("strict"), 0.05).otherwise(0.0)) | F.col("given_only"))
+        return F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.struct(skipped(k).cast("int").alias("skip"), F.array_join(F.slice(words, k + 1, F.size(words)), " ").alias("name")))
+
+    rows = runs.select("doc_id", "strict", "run", "own", F.inline(endings()))
+    distinct = written(rows.select("name").distinct().select(F.col("name").alias("id"), "name"), "names")
+    verdict = entities.gazetteer_verdict(distinct, surnames, given).where("boost > 0 OR given_only").select(F.col("id").alias("name"), "boost", "given_only")
+    rows = rows.join(written(verdict, "known-names"), "name")
+    size = F.length("name")
+    rows = rows.select("doc_id", F.explode("strict").alias("strict"), "run", (F.col("run") + F.col("skip")).alias("start"), size.alias("len"), F.substring("own", F.col("skip") + 1, size).alias("matched"), "boost", "given_only")
+    rows = rows.where((F.col("boost") > F.when(F.col("strict"), 0.05).otherwise(0.0)) | F.col("given_only"))
     # of a run's endings the best known, then the longest
     best = rows.groupBy("doc_id", "strict", "run").agg(F.max(F.struct("boost", "len", "start", "matched")).alias("m")).select("doc_id", "m.*")
     out = best.groupBy("doc_id", "start", "len").agg(F.max(F.struct("boost", "matched")).alias("m"))
