@@ -9,9 +9,9 @@ more than one, as long as no source has run out.
 The schedule is a fold over the blocks: its state is the next block of each
 source and the slot, STEPS blocks are placed by a row of the fold, and each row
 is written to the shared folder and read as the start of the next one. A block
-has BLOCK_ROWS rows, or more where MOST_BLOCKS blocks would not hold all rows, so
-the fold's length is bounded while rows are not. Rows then meet slots by source
-and block; a key has the rows of a block at most.
+has BLOCK_ROWS rows however many rows there are, so the fold has a step for each
+BLOCK_ROWS of them; a caller that sets MOST_BLOCKS gets larger blocks instead.
+Rows then meet slots by source and block; a key has the rows of a block at most.
 
 A source's rows are numbered in the order of (share, hash of doc_id, doc_id):
 within small hashed shares, whose sizes are added up before in two levels, so
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from ..sources import scratch
 
-BLOCK_ROWS, SHARE_ROWS, MOST_BLOCKS, STEPS = 16, 2000, 1 << 18, 4096
+BLOCK_ROWS, SHARE_ROWS, STEPS = 16, 2000, 4096
+#: No bound by default: the schedule must not depend on how many rows there are.
+MOST_BLOCKS: int | None = None
 #: Shares of a top share, and the largest sum of weights; other weights are rounded to that many units.
 TOP, MOST_UNITS = 1024, 1 << 40
 
@@ -78,14 +80,17 @@ def slots(spark: SparkSession, names: list[str], blocks: list[int], weights: lis
                 transform(array(array_min(transform(s, (x, j) -> if(r[j] <= t, named_struct('due', ((st.next[j] + 1) * {total}L + x.w - 1) div x.w, 'j', j), NULL)))), c ->
                     named_struct('next', transform(st.next, (n, j) -> n + if(j = c.j, 1L, 0L)), 't', t + 1,
                         'given', concat(st.given, array(named_struct('j', c.j, 'block', st.next[c.j], 'release', r[c.j], 'deadline', c.due, 'slot', t)))))[0])[0])[0])"""
-    out, left = None, sum(blocks)
+    paths, left = [], sum(blocks)
     while left > 0:
         count = min(steps, left)
         row = scratch.written(state.selectExpr("s", f"{fold.format(count=count)} AS st"), "slots")
-        state = row.selectExpr("s", "st.next AS next", "st.t AS t")
-        placed = row.selectExpr("s", "inline(st.given)").selectExpr("s[j].source AS source", "block", "release", "deadline", "slot")
-        out, left = placed if out is None else out.unionByName(placed), left - count
-    return out if out is not None else spark.sql("SELECT '' AS source, 0L AS block, 0L AS release, 0L AS deadline, 0L AS slot WHERE false")
+        paths.append(scratch.mark())
+        state, left = row.selectExpr("s", "st.next AS next", "st.t AS t"), left - count
+    if not paths:
+        return spark.sql("SELECT '' AS source, 0L AS block, 0L AS release, 0L AS deadline, 0L AS slot WHERE false")
+    # read as one table, so that the plan does not grow with the rows of the fold
+    every = spark.read.schema(row.schema).parquet(*paths)
+    return every.selectExpr("s", "inline(st.given)").selectExpr("s[j].source AS source", "block", "release", "deadline", "slot")
 
 
 def scheduled(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -109,7 +114,7 @@ def scheduled(docs: DataFrame, weights: DataFrame | None = None, power: float =
         raise ValueError(f"sources without a weight above 0: {bad[:10]}")
     given = {s: w for s, w in given.items() if w and 0 < w < math.inf}
     names = sorted(given)
-    size = max(block_rows, -(-total // MOST_BLOCKS))
+    size = max(block_rows, -(-total // MOST_BLOCKS)) if MOST_BLOCKS else block_rows
     blocks = [-(-rows[s][0] // size) if s in rows else 0 for s in names]
     placed = slots(spark, names, blocks, whole([given[s] for s in names]))
     numbers = numbered(own, total).withColumn("block", F.expr(f"number div {size}"))

@@ -63,3 +63,21 @@ def test_blocks_grow_when_there_would_be_too_many(spark, monkeypatch):
     docs = spark.createDataFrame([(k if k % 9 else None, f"s{k % 3}" if k % 4 else "hot") for k in range(3000)], "doc_id long, source string")
     out = mixing.scheduled(docs).collect()
     assert len(out) == 3000 and len({(r.slot, r.place) for r in out}) == 3000 and len({r.slot for r in out}) <= 54
+
+
+def test_blocks_are_as_large_however_many_rows_there_are(spark, monkeypatch):
+    asked = []
+
+    def stop(_, names, blocks, weights):
+        asked.extend(blocks)
+        raise StopIteration
+
+    monkeypatch.setattr(mixing, "slots", stop)
+    with pytest.raises(StopIteration):
+        mixing.scheduled(spark.range(5_000_000).selectExpr("id AS doc_id", "'s' AS source"))
+    assert asked == [5_000_000 // mixing.BLOCK_ROWS]
+
+
+def test_plan_of_the_slots_does_not_grow_with_its_rounds(spark):
+    out = mixing.slots(spark, ["a", "b"], [20, 30], [1, 2], steps=5)
+    assert out.count() == 50 and "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
