@@ -144,13 +144,13 @@ def confusions_repaired(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.array_join(pieces, "")).otherwise(line)
 
 
-#: A capital behind another character of its word, or a digraph whose capital is not its title form.
-_RECASED = r"\S[\p{javaUpperCase}\p{javaTitleCase}]|[\x{01C4}\x{01C7}\x{01CA}\x{01F1}]"
+#: A capital behind another character of its word (separators part words), or a digraph whose capital is not its title form.
+_RECASED = r"[^\s:;,/][\p{javaUpperCase}\p{javaTitleCase}]|[\x{01C4}\x{01C7}\x{01CA}\x{01F1}]"
 
 
 def shadow_recases(text: Column) -> Column:
     """Whether the shadow of a text may change a letter; if not, it only has spaces for : ; , and /."""
-    return F.translate(text, ":;,/", "    ").rlike(_RECASED)
+    return text.rlike(_RECASED)
 
 
 def shadow(text: Column) -> Column:

@@ -50,7 +50,7 @@ def shares(window: Column, words: list[str], boost: Column) -> Column:
 
 _NAME = r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’.-]*){0,2}(?![\p{L}\p{N}])"
 #: Where a separator that a shadow turns into a space may join two words of a run.
-_GLUED = r"[\p{L}'’.-][:;,/]\p{Lu}"
+_GLUED = r"[:;,/]\p{Lu}"
 
 
 def names(texts: DataFrame, surnames: DataFrame, given: DataFrame) -> DataFrame:
@@ -81,9 +81,9 @@ def names(texts: DataFrame, surnames: DataFrame, given: DataFrame) -> DataFrame:
 
     def endings() -> Column:
         """The run, and the run without its first words, which may be a label."""
-        words = F.split("words", " ")
-        skipped = lambda k: F.length(F.array_join(F.slice(words, 1, k), " ")) + F.when(k > 0, 1).otherwise(0)
-        return F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.struct(skipped(k).cast("int").alias("skip"), F.array_join(F.slice(words, k + 1, F.size(words)), " ").alias("name")))
+        each = [F.substring_index("words", " ", -n) for n in (1, 2, 3)]  # _NAME has no longer run
+        count = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1
+        return F.slice(F.array(*(F.struct((F.length("words") - F.length(e)).alias("skip"), e.alias("name")) for e in each)), F.lit(1), count)
 
     rows = runs.select("doc_id", "strict", "run", "own", F.inline(endings()))
     distinct = written(rows.select("name").distinct().select(F.col("name").alias("id"), "name"), "names")
